@@ -76,12 +76,16 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         i = j
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of some texts in order, and per text the index of its first word (one more at the end)."""
+def hash_words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _WS, prefixes: tuple[int, ...] = ()):
+    """Word hashes of some texts in order, and per text the index of its first word (one more at the end).
+
+    ``gaps`` says which bytes separate words. With ``prefixes`` the hashes of
+    the words' first so many bytes follow, one array each (shorter words whole).
+    """
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~_WS[data]
+        return (np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), *(np.zeros(0, np.uint64) for _ in prefixes))
+    inside = ~gaps[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -93,8 +97,10 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
         np.cumsum(_LOW[data] * _pow(_BASE, n), out=sums[1:])
-        words = mix((sums[ends] - sums[starts]) * _pow(_INV, n)[starts])
-    return words, np.searchsorted(starts, offsets)
+        scale = _pow(_INV, n)[starts]
+        words = mix((sums[ends] - sums[starts]) * scale)
+        heads = [mix((sums[np.minimum(starts + k, ends)] - sums[starts]) * scale, k) for k in prefixes]
+    return (words, np.searchsorted(starts, offsets), *heads)
 
 
 def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
