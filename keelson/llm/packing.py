@@ -15,11 +15,14 @@ length and rank. The result is the same as best-fit decreasing piece by piece.
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,12 @@ class WordTokenizer:
     """
 
     ODD = "\x1c\x1d\x1e\x1f"
+    END = b"\xff"
+    #: Fixed value: how the vocabulary cuts words.
+    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: Printable ASCII and Latin letters without the dotted capital I: lower case is one to one and nothing composes.
+    PLAIN = re.compile(r"[\x21-\x7e\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+").fullmatch
+    split = regex.compile(PIECES).findall
 
     def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
@@ -45,10 +54,47 @@ class WordTokenizer:
         self.limit = limit
         self.cache: dict[str, bytes] = {}
 
+        self.piece = self._byte_pairs(path)
+
+    def _byte_pairs(self, path: str):
+        """The same merges over plain bytes, for words that need no normalising but lower case.
+
+        A byte that UTF-8 never holds stands for the end of a word. It merges
+        with the last byte before all else, since these tokens have the lowest ids.
+        None if the file is of another kind.
+        """
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        splits = [x.get("pattern", {}).get("Regex") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        if spec["model"].get("end_of_word_suffix") != "</w>" or self.PIECES not in splits:
+            return None
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in plain)}
+        ranks: dict[bytes, int] = {}
+        for token, rank in spec["model"]["vocab"].items():
+            core = token.removesuffix("</w>")
+            if core and all(c in byte_of for c in core) and not token.startswith("<|"):
+                ranks[bytes(byte_of[c] for c in core) + self.END * (core != token)] = rank
+        for b in range(256):
+            ranks.setdefault(bytes([b]), (1 << 30) + b)
+        return tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
     def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        for w, e in zip(words, found, strict=True):
-            self.cache[w] = np.array(e.ids, "<u4").tobytes()
+        odd = []
+        for w in words:
+            if self.piece is None or not self.PLAIN(w):
+                odd.append(w)
+                continue
+            ids: list[int] = []
+            for p in self.split(w.lower()):
+                ids += self.piece(p.encode() + self.END)
+            self.cache[w] = np.array(ids, "<u4").tobytes()
+        if odd:
+            found = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
+            for w, e in zip(odd, found, strict=True):
+                self.cache[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
