@@ -17,10 +17,12 @@ The steps, none of which makes all pairs of a group:
    sorting them; neighbours share the path up to their common prefix), whose
    walk carries the overlap along shared paths and leaves a subtree as soon
    as what remains cannot reach the overlap needed.
-5. Verified links are contracted to components. Members of one run that are
-   still in different components are compared too; within a component nothing
-   more is needed. So copies of one text by the thousand cost about one
-   comparison each, and no link between different components is lost.
+5. Verified links are contracted to components. In a few turns members of one
+   run that are in different components are paired with a neighbour each, which
+   joins most of a group of copies; what is still apart after that is
+   compared in all pairs. Within a component nothing more is needed, so copies
+   of one text by the thousand cost a few comparisons each, and no link
+   between different components is lost.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from keelson.llm.words import mix, shingle_sets
 
 #: Shingles whose count decides the order, most frequent first: 8 MB at most. Fewer or more only change speed.
 ORDER_LIMIT = 500_000
+#: Turns of pairing neighbours before all pairs of different components are compared.
+ROUNDS = 2
 #: Hashes counted at once in a task, postings packed at once in a task.
 BLOCK = 3_000_000
 
@@ -188,10 +192,22 @@ def _runs(percent: int):
     return run, "run long, a long, b long, n long"
 
 
-def _across(percent: int):
-    """Members (run, node, n, component), sorted by run, to the pairs of different components that sizes allow."""
+def _across(percent: int, turn: int | None):
+    """Members (run, node, n, component), sorted by run, to pairs of different components that sizes allow.
+
+    In a numbered turn only neighbours by a hash of node and turn are paired: as
+    many pairs as members, and mostly the same in all runs of one group of
+    copies. Without a turn all such pairs are made.
+    """
 
     def pairs(node, n, comp):
+        if turn is not None:
+            by = np.argsort(mix(node.view(np.uint64), 20 + turn), kind="stable")
+            a, b, x, y = node[by][:-1], node[by][1:], n[by][:-1], n[by][1:]
+            ok = (comp[by][:-1] != comp[by][1:]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+            if ok.any():
+                yield np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]])
+            return
         by = np.argsort(n, kind="stable")
         node, n, comp = node[by], n[by], comp[by]
         if (comp == comp[0]).all():
@@ -318,20 +334,20 @@ def _keep_sets(size: int):
     return run, "id long, s binary"
 
 
-def verified(rows: DataFrame, pairs: DataFrame, size: int, percent: int, salts: int = 16) -> DataFrame:
-    """The links among candidate pairs (a, b), a < b, of rows (id, text)."""
-    spark = rows.sparkSession
-    partitions = common.partitions(spark)
-    nodes = common.saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
+def kept_sets(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(id, s): the sets of the rows (id, text) whose ids are among the nodes, written once for all comparisons."""
     few = common.broadcast_if_small(nodes, nodes.count())
     run, schema = _keep_sets(size)
-    sets = rows.join(few, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, schema)
-    sets = common.saved(sets, "sets")
+    return common.saved(rows.join(few, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, schema), "sets")
+
+
+def verified(sets: DataFrame, pairs: DataFrame, percent: int, salts: int = 16) -> DataFrame:
+    """The links among candidate pairs (a, b). A pivot's partners are dealt over ``salts`` tasks, each with the pivot's set."""
     dealt = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt"), "b")
     own = dealt.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("b"), F.lit(True).alias("own"))
     dealt = dealt.withColumn("own", F.lit(False)).union(own)
     dealt = dealt.join(sets, dealt.b == sets.id).select("a", "salt", "b", "own", "s")
-    dealt = dealt.repartition(partitions, "a", "salt").sortWithinPartitions("a", "salt", F.desc("own"), "b")
+    dealt = dealt.repartition(common.partitions(sets.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.desc("own"), "b")
     run, schema = _verify(percent)
     return common.saved(dealt.mapInArrow(run, schema), "links")
 
@@ -376,18 +392,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = links.join(rep, "b").select("a", F.col("rep").alias("y")).join(rep.withColumnRenamed("b", "a"), "a")
     first = first.select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b")).where("a <> b").distinct()
     first = common.saved(first, "candidates")
-    linked = verified(rows, first, size, percent)
-    near = common.saved(common.components(linked), "near")
-
     several = found.where("run is not null").select("run", "b", "n").join(rep, "b").select("run", "rep", "n").distinct()
-    several = several.join(near.withColumnRenamed("node", "rep"), "rep", "left")
-    several = several.select("run", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    several = several.repartition(deals, "run").sortWithinPartitions("run", "rep")
-    run, schema = _across(percent)
-    second = several.mapInArrow(run, schema).distinct().join(first, ["a", "b"], "left_anti")
-    second = common.saved(second, "candidates")
-    more = verified(rows, second, size, percent)
-    final = common.components(linked.union(more))
+    several = common.saved(several, "members")
+    nodes = first.select(F.explode(F.array("a", "b")).alias("id")).union(several.select("rep")).distinct()
+    sets = kept_sets(rows, common.saved(nodes, "nodes"), size)
+    linked, tested = verified(sets, first, percent), first
+    near = None
+    for turn in (*range(ROUNDS), None):  # the last one makes all pairs that are left
+        if near is None:
+            near = common.saved(common.components(linked), "near").withColumnRenamed("node", "rep")
+        placed = several.join(near, "rep", "left").select("run", "rep", "n", F.coalesce("component", "rep").alias("component"))
+        placed = placed.repartition(deals, "run").sortWithinPartitions("run", "rep")
+        run, schema = _across(percent, turn)
+        pairs = common.saved(placed.mapInArrow(run, schema).distinct().join(tested, ["a", "b"], "left_anti"), "candidates")
+        if not pairs.isEmpty():
+            linked, tested, near = linked.union(verified(sets, pairs, percent)), tested.union(pairs), None
+    final = common.components(linked)
+    final = common.components(linked)
+    final = common.components(linked)
     return members.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
     )
