@@ -17,16 +17,20 @@ The steps, none of which makes all pairs of a group:
    sorting them; neighbours share the path up to their common prefix), whose
    walk carries the overlap along shared paths and leaves a subtree as soon
    as what remains cannot reach the overlap needed.
-5. Verified links are contracted to components. In a few turns members of one
+5. Verified links are contracted to components. In a first turn members of one
    run that are in different components are paired with a neighbour each, which
    joins most of a group of copies; what is still apart after that is
    compared in all pairs. Within a component nothing more is needed, so copies
    of one text by the thousand cost a few comparisons each, and no link
-   between different components is lost.
+   between different components is lost. Only pairs that parity bitmaps of
+   their sets leave possible (an exact bound, see ``parity``) become
+   candidates: members of a run that share a passage and little else
+   are told apart inside the task and make no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +44,13 @@ from keelson.llm.words import mix, shingle_sets
 #: Shingles whose count decides the order, most frequent first: 8 MB at most. Fewer or more only change speed.
 ORDER_LIMIT = 500_000
 #: Turns of pairing neighbours before all pairs of different components are compared.
-ROUNDS = 2
+ROUNDS = 1
+#: Bits of a set's parity bitmap: a power of two, four or more for each element, within these. More bits bound more tightly.
+LEAST_BITS, MOST_BITS = 512, 1 << 15
 #: Hashes counted at once in a task, postings packed at once in a task.
-BLOCK = 3_000_000
+BLOCK = 1_000_000
+#: Rows of a batch handed back, and bytes of one of packed postings.
+ROWS_OUT, BYTES_OUT = 1 << 16, 4 << 20
 
 
 def needed(x: int, y: int, percent: int) -> int:
@@ -50,6 +58,23 @@ def needed(x: int, y: int, percent: int) -> int:
     return -(-percent * (x + y) // (100 + percent))
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A bitmap whose bits say whether an odd number of elements falls on them.
+
+    Elements of both of two sets cancel out in the exclusive or of their
+    bitmaps, so its bits set are at most the elements that only one set has.
+    The bitmap of half the length is the exclusive or of the halves.
+    """
+    bits = min(max(LEAST_BITS, 1 << max(4 * len(s) - 1, 1).bit_length()), MOST_BITS)
+    odd = np.bincount((mix(s, 9) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _sliced(batch: pa.RecordBatch, rows: int = ROWS_OUT) -> Iterator[pa.RecordBatch]:
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
     yield from zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size), strict=True)
 
@@ -60,7 +85,7 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def _scan(size: int):
-    schema = pa.schema([("kind", pa.int8()), ("id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
+    schema = pa.schema([("kind", pa.int8()), ("id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("mark", pa.binary())])
 
     def counted(sets: list[np.ndarray]) -> pa.RecordBatch | None:
         if not sets:
@@ -69,31 +94,38 @@ def _scan(size: int):
         often = times > 1
         k = int(often.sum())
         none = pa.nulls(k, pa.int64())
-        return pa.record_batch([pa.array(np.ones(k, np.int8)), none, pa.array(times[often].astype(np.int64)), pa.array(values[often].view(np.int64)), none], schema=schema)
+        return pa.record_batch([pa.array(np.ones(k, np.int8)), none, pa.array(times[often].astype(np.int64)), pa.array(values[often].view(np.int64)), none, pa.nulls(k, pa.binary())], schema=schema)
+
+    def sized(rows: list[tuple[int, ...]], marks: list[bytes]) -> pa.RecordBatch:
+        cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+        return pa.record_batch([pa.array(np.zeros(len(rows), np.int8)), *cols, pa.array(marks, pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         held, have = [], 0
         for batch in batches:
-            rows = []
+            rows, marks = [], []
             for key, s in _sets(batch, size):
                 hi, lo = _signature(s)
                 rows.append((key, len(s), hi, lo))
+                marks.append(parity(s))
+                if len(marks) >= 1024:
+                    yield sized(rows, marks)
+                    rows, marks = [], []
                 if (hi, lo) not in seen:
                     seen.add((hi, lo))
                     held.append(s)
                     have += len(s)
                 if have > BLOCK:
-                    yield counted(held)
+                    yield from _sliced(counted(held))
                     held, have = [], 0
                     seen.clear()
             if rows:
-                cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.record_batch([pa.array(np.zeros(len(rows), np.int8)), *cols], schema=schema)
+                yield sized(rows, marks)
         if (last := counted(held)) is not None:
-            yield last
+            yield from _sliced(last)
 
-    return run, "kind tinyint, id long, n long, hi long, lo long"
+    return run, "kind tinyint, id long, n long, hi long, lo long, mark binary"
 
 
 def _post(size: int, percent: int, order: tuple[np.ndarray, np.ndarray], deals: int):
@@ -125,6 +157,7 @@ def _post(size: int, percent: int, order: tuple[np.ndarray, np.ndarray], deals:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, count = order
+        rows_out = max(1, BYTES_OUT * deals // (20 * BLOCK))
         seen: set[tuple[int, int]] = set()
         held, have = [], 0
         for batch in batches:
@@ -139,11 +172,11 @@ def _post(size: int, percent: int, order: tuple[np.ndarray, np.ndarray], deals:
                 held.append((key, len(s), p))
                 have += len(p)
                 if have > BLOCK:
-                    yield packed(held)
+                    yield from _sliced(packed(held), rows_out)
                     held, have = [], 0
                     seen.clear()
         if held:
-            yield packed(held)
+            yield from _sliced(packed(held), rows_out)
 
     return run
 
@@ -184,66 +217,93 @@ def _runs(percent: int):
         pairs = np.unique(np.stack([a[near], b[near]]), axis=1)
         none = pa.nulls(pairs.shape[1], pa.int64())
         names = ["run", "a", "b", "n"]
-        yield pa.record_batch([none, pa.array(pairs[0]), pa.array(pairs[1]), none], names=names)
+        yield from _sliced(pa.record_batch([none, pa.array(pairs[0]), pa.array(pairs[1]), none], names=names))
         many = np.repeat(members > 2, members)
         run_id = np.repeat(mark.view(np.int64), members)[many]
-        yield pa.record_batch([pa.array(run_id), pa.nulls(len(run_id), pa.int64()), pa.array(b[many]), pa.array(y[many])], names=names)
+        yield from _sliced(pa.record_batch([pa.array(run_id), pa.nulls(len(run_id), pa.int64()), pa.array(b[many]), pa.array(y[many])], names=names))
 
     return run, "run long, a long, b long, n long"
 
 
+def _possible(x, y, differ, percent: int):
+    """Whether sets of x and y elements may link, if their bitmaps differ in so many bits."""
+    return (x + y - differ.astype(np.int64)) // 2 >= needed(x, y, percent)
+
+
+def _bitmaps(marks: list[bytes]) -> dict[int, tuple[int, np.ndarray]]:
+    """Per length of ``marks``, which ascend by length: its first row, and its and all longer rows at that length."""
+    lengths = np.array([len(m) for m in marks])
+    out, longer = {}, None
+    for k in np.unique(lengths)[::-1].tolist():
+        rows = np.frombuffer(b"".join(m for m in marks if len(m) == k), np.uint64).reshape(-1, k // 8)
+        if longer is not None:
+            while longer.shape[1] > k // 8:
+                half = longer.shape[1] // 2
+                longer = longer[:, :half] ^ longer[:, half:]
+            rows = np.concatenate([rows, longer])
+        out[k], longer = (int(np.searchsorted(lengths, k)), rows), rows
+    return out
+
+
 def _across(percent: int, turn: int | None):
-    """Members (run, node, n, component), sorted by run, to pairs of different components that sizes allow.
+    """Members (run, node, n, component, mark), sorted by run, to pairs of different components that sizes and bitmaps allow.
 
     In a numbered turn only neighbours by a hash of node and turn are paired: as
     many pairs as members, and mostly the same in all runs of one group of
     copies. Without a turn all such pairs are made.
     """
 
-    def pairs(node, n, comp):
-        if turn is not None:
-            by = np.argsort(mix(node.view(np.uint64), 20 + turn), kind="stable")
-            a, b, x, y = node[by][:-1], node[by][1:], n[by][:-1], n[by][1:]
-            ok = (comp[by][:-1] != comp[by][1:]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
-            if ok.any():
-                yield np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]])
-            return
+    def pairs(node, n, comp, marks):
         by = np.argsort(n, kind="stable")
-        node, n, comp = node[by], n[by], comp[by]
+        node, n, comp, marks = node[by], n[by], comp[by], [marks[k] for k in by.tolist()]
         if (comp == comp[0]).all():
             return
-        for i in range(len(n) - 1):
-            j = np.searchsorted(n, 100 * n[i] // percent, "right")
-            other = i + 1 + np.flatnonzero(comp[i + 1 : j] != comp[i])
+        maps, last = _bitmaps(marks), np.searchsorted(n, 100 * n // percent, "right")
+        next_to = np.empty(len(n), np.int64)
+        if turn is not None:
+            chain = np.argsort(mix(node.view(np.uint64), 20 + turn), kind="stable")
+            next_to[chain] = np.r_[chain[1:], chain[-1]]
+            low, high = np.minimum(next_to, np.arange(len(n))), np.maximum(next_to, np.arange(len(n)))
+            ways = zip(low.tolist(), high[:, None], strict=True)
+        else:
+            ways = ((i, np.arange(i + 1, last[i])) for i in range(len(n) - 1))
+        for i, other in ways:
+            other = other[(comp[other] != comp[i]) & (other < last[i])]
+            if len(other):
+                start, rows = maps[len(marks[i])]
+                differ = np.bitwise_count(rows[other - start] ^ rows[i - start]).sum(axis=1)
+                other = other[_possible(n[i], n[other], differ, percent)]
             if len(other):
                 yield np.stack([np.minimum(node[i], node[other]), np.maximum(node[i], node[other])])
 
+    def distinct(out: list[np.ndarray]) -> pa.RecordBatch:
+        found = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.record_batch([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest, kept = np.zeros((4, 0), np.int64), []
         out, have = [], 0
-        for batch in [*batches, None]:
-            now = rest
+        for batch in itertools.chain(batches, [None]):
+            now, marks = rest, kept
             if batch is not None:
-                cols = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)])
-                now = cols if rest is None else np.concatenate([rest, cols], axis=1)
-            if now is None or not now.shape[1]:
+                now = np.concatenate([rest, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)])], axis=1)
+                marks = kept + batch.column(4).to_pylist()
+            if not now.shape[1]:
                 continue
             starts = np.flatnonzero(np.r_[True, now[0, 1:] != now[0, :-1]])
             ends = [*starts[1:], now.shape[1]]
             if batch is not None:  # the last run may go on in the next batch
-                rest = now[:, starts[-1] :]
+                rest, kept = now[:, starts[-1] :], marks[starts[-1] :]
                 starts, ends = starts[:-1], ends[:-1]
             for s, e in zip(starts, ends, strict=True):
-                for p in pairs(now[1, s:e], now[2, s:e], now[3, s:e]):
+                for p in pairs(now[1, s:e], now[2, s:e], now[3, s:e], marks[s:e]):
                     out.append(p)
                     have += p.shape[1]
                 if have > 200_000:
-                    found = np.unique(np.concatenate(out, axis=1), axis=1)
-                    yield pa.record_batch([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+                    yield distinct(out)
                     out, have = [], 0
         if out:
-            found = np.unique(np.concatenate(out, axis=1), axis=1)
-            yield pa.record_batch([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+            yield distinct(out)
 
     return run, "a long, b long"
 
@@ -318,38 +378,84 @@ def _verify(percent: int):
     return run, "a long, b long"
 
 
-def _keep_sets(size: int):
+def _told_apart(percent: int):
+    """(a, b, x, y, p, q), two nodes with their sets' sizes and bitmaps, to the pairs (a, b) that may link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sets = [], []
-            for key, s in _sets(batch, size):
-                ids.append(key)
-                sets.append(s.tobytes())
-                if len(ids) >= 512:
-                    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "s"])
-                    ids, sets = [], []
-            if ids:
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "s"])
+            x, y = (batch.column(k).to_numpy() for k in (2, 3))
+            differ = np.zeros(batch.num_rows, np.int64)
+            for k, (p, q) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                short, long = sorted((np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)), key=len)
+                while len(long) > len(short):
+                    long = long[: len(long) // 2] ^ long[len(long) // 2 :]
+                differ[k] = np.bitwise_count(short ^ long).sum()
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(_possible(x, y, differ, percent)))
+
+    return run, "a long, b long"
+
+
+def may_link(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and bitmaps (node, n, mark) leave possible."""
+    x, y = (marks.select(F.col("node").alias(k), F.col("n").alias(n), F.col("mark").alias(m)) for k, n, m in (("a", "x", "p"), ("b", "y", "q")))
+    run, schema = _told_apart(percent)
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(run, schema)
+
+
+def across(pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that lie in different components."""
+    of = [near.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}")) for k in "ab"]
+    found = pairs.join(of[0], "a", "left").join(of[1], "b", "left")
+    return found.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
 
-    return run, "id long, s binary"
 
+def apart(several: DataFrame, near: DataFrame, marks: DataFrame, percent: int, turn: int | None) -> DataFrame:
+    """Candidate pairs (a, b) among the members (run, rep, n) of runs that lie in several components."""
+    spark = several.sparkSession
+    placed = several.join(near.withColumnRenamed("node", "rep"), "rep", "left").select("run", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    mixed = placed.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    placed = placed.join(mixed.select("run"), "run", "left_semi").join(marks.select(F.col("node").alias("rep"), "mark"), "rep").select("run", "rep", "n", "component", "mark")
+    placed = placed.repartition(common.partitions(spark), "run").sortWithinPartitions("run", "rep")
+    run, schema = _across(percent, turn)
+    return placed.mapInArrow(run, schema).distinct()
 
-def kept_sets(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(id, s): the sets of the rows (id, text) whose ids are among the nodes, written once for all comparisons."""
-    few = common.broadcast_if_small(nodes, nodes.count())
-    run, schema = _keep_sets(size)
-    return common.saved(rows.join(few, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, schema), "sets")
 
+def _deal_sets(size: int):
+    """(id, text, tasks), tasks being (a, salt, own) each, to (a, salt, b, own, set)."""
+    names = ["a", "salt", "b", "own", "s"]
 
-def verified(sets: DataFrame, pairs: DataFrame, percent: int, salts: int = 16) -> DataFrame:
-    """The links among candidate pairs (a, b). A pivot's partners are dealt over ``salts`` tasks, each with the pivot's set."""
-    dealt = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt"), "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, have = [], 0
+            for (key, s), tasks in zip(_sets(batch, size), batch.column(2).to_pylist(), strict=True):
+                data = s.tobytes()
+                rows += [(t["a"], t["salt"], key, t["own"], data) for t in tasks]
+                have += len(data) * len(tasks)
+                if have > 8 << 20:
+                    yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+                    rows, have = [], 0
+            if rows:
+                yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+
+    return run, "a long, salt long, b long, own boolean, s binary"
+
+
+def verified(rows: DataFrame, pairs: DataFrame, size: int, percent: int, salts: int = 16) -> DataFrame:
+    """The links among candidate pairs (a, b) of ids of the rows (id, text).
+
+    A pivot's partners are dealt over ``salts`` tasks, each with the pivot's set.
+    Sets are made again from the texts, so only those compared are shuffled, once.
+    """
+    dealt = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(salts)).alias("salt"), "b")
     own = dealt.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("b"), F.lit(True).alias("own"))
     dealt = dealt.withColumn("own", F.lit(False)).union(own)
-    dealt = dealt.join(sets, dealt.b == sets.id).select("a", "salt", "b", "own", "s")
-    dealt = dealt.repartition(common.partitions(sets.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.desc("own"), "b")
+    tasks = common.saved(dealt.groupBy(F.col("b").alias("id")).agg(F.collect_list(F.struct("a", "salt", "own")).alias("tasks")), "tasks")
+    few = common.broadcast_if_small(tasks, tasks.agg(F.sum(F.size("tasks") + 1)).first()[0] or 0)
+    deal, dealt_schema = _deal_sets(size)
+    sets = rows.join(few, "id").select("id", "text", "tasks").mapInArrow(deal, dealt_schema)
+    sets = sets.repartition(common.partitions(rows.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.desc("own"), "b")
     run, schema = _verify(percent)
-    return common.saved(dealt.mapInArrow(run, schema), "links")
+    return common.saved(sets.mapInArrow(run, schema), "links")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -395,22 +501,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     several = found.where("run is not null").select("run", "b", "n").join(rep, "b").select("run", "rep", "n").distinct()
     several = common.saved(several, "members")
     nodes = first.select(F.explode(F.array("a", "b")).alias("id")).union(several.select("rep")).distinct()
-    sets = kept_sets(rows, common.saved(nodes, "nodes"), size)
-    linked, tested = verified(sets, first, percent), first
-    near = None
+    marks = sized.join(nodes, "id", "left_semi").groupBy(F.col("id").alias("node")).agg(F.max_by(F.struct("n", "mark"), F.struct("hi", "lo")).alias("x"))
+    marks = common.saved(marks.select("node", "x.n", "x.mark"), "marks")
+    first = common.saved(may_link(first, marks, percent), "candidates")
+    tested = common.saved(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "candidates")
+    near = common.saved(common.components(verified(rows, tested, size, percent)), "near")
     for turn in (*range(ROUNDS), None):  # the last one makes all pairs that are left
-        if near is None:
-            near = common.saved(common.components(linked), "near").withColumnRenamed("node", "rep")
-        placed = several.join(near, "rep", "left").select("run", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        placed = placed.repartition(deals, "run").sortWithinPartitions("run", "rep")
-        run, schema = _across(percent, turn)
-        pairs = common.saved(placed.mapInArrow(run, schema).distinct().join(tested, ["a", "b"], "left_anti"), "candidates")
-        if not pairs.isEmpty():
-            linked, tested, near = linked.union(verified(sets, pairs, percent)), tested.union(pairs), None
-    final = common.components(linked)
-    final = common.components(linked)
-    final = common.components(linked)
-    return members.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
+        pairs = apart(several, near, marks, percent, turn)
+        if turn is None:
+            pairs = pairs.union(across(first, near)).distinct()
+        pairs = common.saved(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
+        if pairs.isEmpty():
+            continue
+        tested, more = tested.union(pairs), verified(rows, pairs, size, percent)
+        if not more.isEmpty():
+            near = common.saved(common.components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "near")
+    return members.join(near.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
     )
 

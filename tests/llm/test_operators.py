@@ -70,6 +70,39 @@ def test_trie_overlaps():
         assert o == (true if true >= jaccard.needed(len(s), len(pivot), 75) else -1)
 
 
+def test_parity_bounds_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 700, 12_000):
+        base = rng.integers(0, 1 << 63, n * 2, np.int64).astype(np.uint64)
+        sets = sorted((np.unique(rng.choice(base, n)) for _ in range(8)), key=len)
+        maps = jaccard._bitmaps([jaccard.parity(s) for s in sets])
+        for i, s in enumerate(sets):
+            start, rows = maps[len(jaccard.parity(s))]
+            for j in range(i + 1, len(sets)):
+                differ = int(np.bitwise_count(rows[j - start] ^ rows[i - start]).sum())
+                true = len(np.setxor1d(s, sets[j]))
+                assert differ <= true and (true - differ) % 2 == 0
+                if n == 700:
+                    assert differ > true // 2
+
+
+def test_jaccard_of_a_passage_that_many_share(spark):
+    rng, passage = random.Random(3), " ".join(f"p{k}" for k in range(30))
+    texts = [f"{passage} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(20 + k % 30)) for k in range(60)]
+    texts += [f"{t} more" for t in texts[::3]]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(_docs(spark, list(enumerate(texts)))).collect()}
+    sets = [_shingles(t) for t in texts]
+    want = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 75 * len(a | b):
+                    want[j] = want[i] = min(want[i], want[j])
+        if want == (again := list(want)):
+            break
+    assert [got[k] for k in range(len(texts))] == again
+
+
 def test_packing_is_whole_and_tight(spark):
     texts = [(1, None), (2, ""), (3, "hello " * 5000), (4, "Foo, bar! don't"), (4, "Foo, bar! don't"), (None, "x"), *((10 + k, "word " * k) for k in range(60))]
     rows = packing.pack_documents(_docs(spark, texts), WORD, capacity=64).collect()
