@@ -36,6 +36,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on Arrow batches of the session hold so many rows at most: whole texts are long, and both ends hold a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 250_000) -> DataFrame:
     """A broadcast hint where the counted rows are few; else the planner's own join."""
     return F.broadcast(df) if rows <= limit else df

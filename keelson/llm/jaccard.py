@@ -471,6 +471,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gives an empty result.
     """
     spark = docs.sparkSession
+    common.bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), common.text_or_empty(text_col).alias("text"))
     run, schema = _scan(size)
     scan = common.saved(rows.mapInArrow(run, schema), "scan")

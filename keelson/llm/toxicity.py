@@ -266,6 +266,7 @@ def _scores(model_of):
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row, from its whole text. Null texts count as empty; ids may repeat or be null."""
+    common.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # 4 MB whatever the data
     rows = docs.select(F.col(id_col).alias("id"), common.text_or_empty(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
@@ -275,6 +276,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below 0.5, with all their columns."""
     model = learn(docs, labels, id_col=id_col, text_col=text_col)
+    common.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     marked = docs.select(F.struct(*docs.columns).alias("row"), common.text_or_empty(text_col).alias("text"))
     schema = f"row {docs.schema.simpleString()}, score double"
