@@ -130,7 +130,7 @@ def disclosures(docs: DataFrame, disclosure: float = 0.9, support: int = 3) -> t
     n = docs.count()
     if count:
         words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-        known = words.join(common.broadcast_if_small(terms, count), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+        known = words.groupBy("term").agg(F.count("*").alias("n_t")).join(common.broadcast_if_small(terms, count), "term")  # an inner join, which is not pushed below the count
     else:
         known = spark.createDataFrame([], "term string, n_t long")
     scored = pairs.join(known, "term").withColumn("content", -F.log2(F.col("n_e") / F.lit(n)))
