@@ -5,16 +5,17 @@ that pass that kind's test. Positions come from the text cut at the matches:
 gaps and matches alternate, so running sums of their lengths are the offsets.
 
 Information-theoretic sanitisation: the value of each base span (a certain
-address, a certain number) is a protected entity. A term of the same line,
+address, a certain number) is a protected entity, and every one is scored. A term of the same line,
 within ``REACH`` code points of a span, reveals the entity by its pointwise mutual
 information relative to the entity's information content:
 
     log2(p(t, e) / (p(t) p(e))) / -log2 p(e)
 
-with probabilities over all documents. It is 1 where the term occurs with the
-entity only. Terms at ``disclosure`` or more, seen with the entity in ``support``
-documents and as many different contexts (copies of one passage are one
-context), get spans of kind term wherever they occur within reach of it.
+with probabilities over all distinct texts; copies of one text are one
+observation. ``smooth`` is added to the texts of the term, as if that much of a text had held it
+without the entity, so the score nears 1 where the term occurs with the entity
+only and often, and falls with little evidence; no count is asked for. Terms at ``disclosure`` or more
+get spans of kind term wherever they occur within reach of the entity.
 """
 
 from __future__ import annotations
@@ -111,47 +112,45 @@ def _context_terms(text: Column, span: Column) -> Column:
     return F.concat(F.transform(matches(left, TERM), place(left_at)), F.transform(matches(right, TERM), place(span["end"])))
 
 
-def disclosures(docs: DataFrame, disclosure: float = 0.9, support: int = 3) -> tuple[DataFrame, DataFrame]:
-    """From rows (row, text, spans): (term mentions that disclose an entity, the scored pairs)."""
-    spark = docs.sparkSession
+def disclosures(docs: DataFrame, disclosure: float = 0.9, smooth: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """From rows (row, copy, text, spans), copy the same for equal texts: (term mentions that disclose an entity, the scored pairs)."""
     some = docs.where(F.size("spans") > 0)
-    one = some.select("row", "text", F.explode("spans").alias("span"))
-    one = one.select("row", F.concat_ws(":", F.col("span.kind").cast("string"), F.col("span.value")).alias("entity"), _context_terms(F.col("text"), F.col("span")).alias("terms"))
-    one = one.withColumn("context", F.xxhash64(F.array_join(F.transform("terms", lambda t: t["term"]), " ")))
+    one = some.select("row", "copy", "text", F.explode("spans").alias("span"))
+    one = one.select("row", "copy", F.concat_ws(":", F.col("span.kind").cast("string"), F.col("span.value")).alias("entity"), _context_terms(F.col("text"), F.col("span")).alias("terms"))
     one = common.saved(one, "mentions")
-    mentions = one.select("row", "entity", "context", F.explode("terms").alias("t")).select("row", "entity", "context", "t.*")
-    apart = lambda c: F.count_distinct(c)
-    entities = one.groupBy("entity").agg(apart("row").alias("n_e")).where(F.col("n_e") >= support)
-    pairs = mentions.groupBy("entity", "term").agg(apart("row").alias("n_te"), apart("context").alias("contexts"))
-    pairs = pairs.where((F.col("n_te") >= support) & (F.col("contexts") >= support)).join(entities, "entity")
-    pairs = common.saved(pairs, "pairs")
-    terms = pairs.select("term").distinct()
-    count = terms.count()
-    n = docs.count()
-    if count:
-        words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-        known = words.groupBy("term").agg(F.count("*").alias("n_t")).join(common.broadcast_if_small(terms, count), "term")  # an inner join, which is not pushed below the count
-    else:
-        known = spark.createDataFrame([], "term string, n_t long")
-    scored = pairs.join(known, "term").withColumn("content", -F.log2(F.col("n_e") / F.lit(n)))
-    scored = scored.withColumn("pmi", F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e"))))
-    scored = scored.withColumn("disclosed", F.when(F.col("content") > 0, F.col("pmi") / F.col("content")).otherwise(0.0))
+    mentions = one.select("row", "copy", "entity", F.explode("terms").alias("t")).select("row", "copy", "entity", "t.*")
+    entities = one.groupBy("entity").agg(F.count_distinct("copy").alias("n_e"))
+    pairs = mentions.groupBy("entity", "term").agg(F.count_distinct("copy").alias("n_te"))
+    n = docs.select("copy").distinct().count()
+    scored = common.saved(_scores(pairs, entities, _known(docs, pairs), n, smooth), "pairs")
     revealing = scored.where(F.col("disclosed") >= disclosure)
     return mentions.join(revealing.select("entity", "term"), ["entity", "term"]).select("row", "start", "end").distinct(), scored
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.9, support: int = 3) -> DataFrame:
+def _known(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(term, n_t): in how many distinct texts each term of the pairs stands."""
+    words = docs.select("copy", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    return words.groupBy("term").agg(F.count_distinct("copy").alias("n_t")).join(pairs.select("term").distinct(), "term")  # an inner join, which is not pushed below the count
+
+
+def _scores(pairs: DataFrame, entities: DataFrame, known: DataFrame, n: int, smooth: float) -> DataFrame:
+    scored = pairs.join(entities, "entity").join(known, "term").withColumn("content", -F.log2(F.col("n_e") / F.lit(n)))
+    scored = scored.withColumn("pmi", F.log2(F.col("n_te") * F.lit(float(n)) / ((F.col("n_t") + F.lit(smooth)) * F.col("n_e"))))
+    return scored.withColumn("disclosed", F.when(F.col("content") > 0, F.col("pmi") / F.col("content")).otherwise(0.0))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.9, smooth: float = 0.5) -> DataFrame:
     """``docs`` with base array<struct<kind, start, end, value>> and spans (base spans and terms, kind 4).
 
     Every row is searched by its whole text; a null text counts as empty and
-    has no spans. Repeated rows give repeated results and count as documents of
-    their own. Other columns stay as they are, of any name but base, spans and
+    has no spans. Repeated rows give repeated results; equal texts are one
+    observation. Other columns stay as they are, of any name but base, spans and
     those beginning with an underscore. An empty table gives an empty result.
     """
     rows = docs.select(F.struct(*docs.columns).alias("_own"), F.col(id_col).alias("_id"), common.text_or_empty(text_col).alias("_text"))
     rows = rows.withColumn("_spans", base_spans(F.col("_text"))).withColumn("_row", F.xxhash64("_id", "_text"))
-    plain = rows.select(F.col("_row").alias("row"), F.col("_text").alias("text"), F.col("_spans").alias("spans"))
-    terms, _ = disclosures(plain, disclosure, support)
+    plain = rows.select(F.col("_row").alias("row"), F.xxhash64("_text").alias("copy"), F.col("_text").alias("text"), F.col("_spans").alias("spans"))
+    terms, _ = disclosures(plain, disclosure, smooth)
     more = terms.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end"))).alias("_more"))  # one text's terms
     joined = rows.join(more, rows._row == more.row, "left")
     slim = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
@@ -183,7 +182,7 @@ def redact(text: Column, spans: Column) -> Column:
     return F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(done)
 
 
-def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.9, support: int = 3) -> DataFrame:
+def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.9, smooth: float = 0.5) -> DataFrame:
     """``docs`` with the spans in its texts generalised; all other columns and rows stay."""
-    found = find(docs, id_col, text_col, disclosure, support)
+    found = find(docs, id_col, text_col, disclosure, smooth)
     return found.select(*[redact(F.col(c), F.col("spans")).alias(c) if c == text_col else c for c in docs.columns])

@@ -292,6 +292,14 @@ def test_pii(spark):
     assert pii.find(_docs(spark, [])).count() == 0
 
 
+def test_pii_scores_entities_of_one_document(spark):
+    rows = [(i, f"some words of text {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}") for i in range(300)]
+    rows += [(1000, "write Ackbar some words at x@y.org"), (1001, "write some words at z@y.org"), (1002, "write some words at z@y.org")]
+    clean = {r.doc_id: r.text for r in pii.sanitize(_docs(spark, rows)).collect()}
+    assert clean[1000] == "write [TERM] some words at [EMAIL]" and clean[1001] == clean[1002] == "write some words at [EMAIL]"
+    assert clean[0] == rows[0][1]
+
+
 def test_pipeline_keeps_clean_documents(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
