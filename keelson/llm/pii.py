@@ -5,9 +5,8 @@ that pass that kind's test. Positions come from the text cut at the matches:
 gaps and matches alternate, so running sums of their lengths are the offsets.
 
 Information-theoretic sanitisation: the value of each base span (a certain
-address, a certain number) is a protected entity, and every one is scored. A term of the same line,
-within ``REACH`` code points of a span, reveals the entity by its pointwise mutual
-information relative to the entity's information content:
+address, a certain number) is a protected entity, and every one is scored. A term of a text that holds
+the entity reveals it by its pointwise mutual information relative to the entity's information content:
 
     log2(p(t, e) / (p(t) p(e))) / -log2 p(e)
 
@@ -15,7 +14,8 @@ with probabilities over all distinct texts; copies of one text are one
 observation. ``smooth`` is added to the texts of the term, as if that much of a text had held it
 without the entity, so the score nears 1 where the term occurs with the entity
 only and often, and falls with little evidence; no count is asked for. Terms at ``disclosure`` or more
-get spans of kind term wherever they occur within reach of the entity.
+get spans of kind term wherever they occur in a text that holds the entity,
+except inside base spans.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ PATTERNS = {
 #: What a text must hold for a kind's pattern to match at all.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
-REACH = 40
-TERM = r"\p{L}[\p{L}\p{N}]++"
+#: A whole run of letters and digits, two at least, with a letter in it.
+TERM = r"(?<![\p{L}\p{N}])(?=\p{N}*+\p{L})[\p{L}\p{N}]{2,}+"
 
 
 def _bind(value: Column, body) -> Column:
@@ -66,9 +66,10 @@ def _passes(kind: str, match: Column) -> Column:
     return F.length(_digits(value)).between(9, 15)
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, value>> of all matches, in code points, end exclusive."""
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
+    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
+    zipped = F.arrays_zip(F.split(text, regex, -1).alias("gap"), F.regexp_extract_all(text, regex, F.lit(0)).alias("value"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -97,46 +98,47 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _context_terms(text: Column, span: Column) -> Column:
-    """Terms of the span's line within reach, lower case, with their places in the text."""
-    low = F.greatest(span["start"] - REACH, F.lit(0))
-    before = F.substring(text, low + 1, span["start"] - low)
-    after = F.substring(text, span["end"] + 1, F.lit(REACH))
-    before_line = F.substring_index(before, "\n", -1)
-    after_line = F.substring_index(after, "\n", 1)
-    # a word that the reach cuts counts only if it begins inside, or at the line's start
-    left = F.when((low > 0) & (F.length(before_line) == F.length(before)), F.regexp_replace(before_line, r"^[\p{L}\p{N}]+", "")).otherwise(before_line)
-    right = F.when(F.length(after_line) == REACH, F.regexp_replace(after_line, r"[\p{L}\p{N}]+$", "")).otherwise(after_line)
-    left_at = span["start"] - F.length(left)
-    place = lambda base: lambda m: F.struct(F.lower(m["value"]).alias("term"), (base + m["start"]).alias("start"), (base + m["end"]).alias("end"))
-    return F.concat(F.transform(matches(left, TERM), place(left_at)), F.transform(matches(right, TERM), place(span["end"])))
+def _whole_words(words: Column) -> Column:
+    """The pattern of these TERM runs."""
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])"))
 
 
 def disclosures(docs: DataFrame, disclosure: float = 0.9, smooth: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """From rows (row, copy, text, spans), copy the same for equal texts: (term mentions that disclose an entity, the scored pairs)."""
+    """From rows (row, copy, text, spans), copy the same for equal texts: (row, words: its words that disclose an entity of its own; the scored pairs).
+
+    As n_te <= n_e, a term in more than n_e**disclosure * n**(1 - disclosure) - smooth texts
+    cannot reach the threshold; such terms are not paired.
+    """
     some = docs.where(F.size("spans") > 0)
-    one = some.select("row", "copy", "text", F.explode("spans").alias("span"))
-    one = one.select("row", "copy", F.concat_ws(":", F.col("span.kind").cast("string"), F.col("span.value")).alias("entity"), _context_terms(F.col("text"), F.col("span")).alias("terms"))
-    one = common.saved(one, "mentions")
-    mentions = one.select("row", "copy", "entity", F.explode("terms").alias("t")).select("row", "copy", "entity", "t.*")
-    entities = one.groupBy("entity").agg(F.count_distinct("copy").alias("n_e"))
-    pairs = mentions.groupBy("entity", "term").agg(F.count_distinct("copy").alias("n_te"))
-    n = docs.select("copy").distinct().count()
-    scored = common.saved(_scores(pairs, entities, _known(docs, pairs), n, smooth), "pairs")
-    revealing = scored.where(F.col("disclosed") >= disclosure)
-    return mentions.join(revealing.select("entity", "term"), ["entity", "term"]).select("row", "start", "end").distinct(), scored
-
-
-def _known(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(term, n_t): in how many distinct texts each term of the pairs stands."""
-    words = docs.select("copy", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    return words.groupBy("term").agg(F.count_distinct("copy").alias("n_t")).join(pairs.select("term").distinct(), "term")  # an inner join, which is not pushed below the count
-
-
-def _scores(pairs: DataFrame, entities: DataFrame, known: DataFrame, n: int, smooth: float) -> DataFrame:
-    scored = pairs.join(entities, "entity").join(known, "term").withColumn("content", -F.log2(F.col("n_e") / F.lit(n)))
+    value = lambda s: F.concat_ws(":", s["kind"].cast("string"), s["value"])
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))
+    held = common.saved(some.select("row", "copy", F.array_distinct(F.transform("spans", value)).alias("entities"), words.alias("words")), "held")
+    known, n = _known(docs)
+    one = held.select("row", "copy", F.explode("entities").alias("entity"))
+    entities = common.saved(one.groupBy("entity").agg(F.count_distinct("copy").alias("n_e")), "entities")
+    most = one.join(entities, "entity").groupBy("row").agg(F.max("n_e").alias("most"))
+    terms = held.select("row", F.explode("words").alias("word")).withColumn("term", F.lower("word")).join(known, "term").join(most, "row")
+    bound = F.pow(F.col("most"), F.lit(disclosure)) * F.pow(F.lit(float(n)), F.lit(1 - disclosure)) * 1.000001
+    rare = common.saved(terms.where(F.col("n_t") + smooth <= bound).drop("most"), "rare")
+    mentions = one.distinct().join(rare.distinct(), "row")
+    scored = mentions.groupBy("entity", "term", "n_t").agg(F.count_distinct("copy").alias("n_te")).join(entities, "entity")
+    scored = scored.withColumn("content", -F.log2(F.col("n_e") / F.lit(n)))
     scored = scored.withColumn("pmi", F.log2(F.col("n_te") * F.lit(float(n)) / ((F.col("n_t") + F.lit(smooth)) * F.col("n_e"))))
-    return scored.withColumn("disclosed", F.when(F.col("content") > 0, F.col("pmi") / F.col("content")).otherwise(0.0))
+    scored = common.saved(scored.withColumn("disclosed", F.when(F.col("content") > 0, F.col("pmi") / F.col("content")).otherwise(0.0)), "pairs")
+    revealing = scored.where(F.col("disclosed") >= disclosure).select("entity", "term")
+    return mentions.join(revealing, ["entity", "term"]).groupBy("row").agg(F.array_sort(F.collect_set("word")).alias("words")), scored
+
+
+def _known(docs: DataFrame) -> tuple[DataFrame, int]:
+    """((term, n_t): in how many distinct texts each term stands, the number of distinct texts)."""
+    apart = docs.groupBy("copy", "row").count().groupBy("copy").agg(F.sum("count").alias("all"), F.min("row").alias("first"), F.min_by("count", "row").alias("same"))
+    apart = common.saved(apart, "copies")
+    many = apart.where("all > 1")
+    one = docs.select("copy", "row", "text").join(common.broadcast_if_small(many, many.count()), "copy", "left").where("first is null or row = first")
+    lower = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
+    words = one.select(F.when(F.col("same") > 1, F.col("copy")).alias("repeated"), F.explode(lower).alias("term"))
+    counts = words.groupBy("term", "repeated").agg(F.count("*").alias("n"))
+    return counts.groupBy("term").agg(F.sum(F.when(F.col("repeated").isNull(), F.col("n")).otherwise(1)).alias("n_t")), apart.count()
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.9, smooth: float = 0.5) -> DataFrame:
@@ -151,12 +153,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     rows = rows.withColumn("_spans", base_spans(F.col("_text"))).withColumn("_row", F.xxhash64("_id", "_text"))
     plain = rows.select(F.col("_row").alias("row"), F.xxhash64("_text").alias("copy"), F.col("_text").alias("text"), F.col("_spans").alias("spans"))
     terms, _ = disclosures(plain, disclosure, smooth)
-    more = terms.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end"))).alias("_more"))  # one text's terms
-    joined = rows.join(more, rows._row == more.row, "left")
+    joined = rows.join(terms.select("row", F.col("words").alias("_words")), rows._row == terms.row, "left")
     slim = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     base = slim(F.col("_spans"))
-    apart = F.filter(F.col("_more"), lambda t: ~F.exists(F.col("_spans"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    spans = F.when(F.col("_more").isNull(), base).otherwise(F.concat(base, apart))
+    more = F.transform(matches(F.col("_text"), _whole_words(F.col("_words"))), lambda m: F.struct(F.lit(4).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+    apart = F.filter(more, lambda t: ~F.exists(F.col("_spans"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    spans = F.when(F.col("_words").isNull(), base).otherwise(F.concat(base, apart))
     return joined.select("_own.*", F.col("_spans").alias("base"), spans.alias("spans"))
 
 

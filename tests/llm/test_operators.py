@@ -300,6 +300,13 @@ def test_pii_scores_entities_of_one_document(spark):
     assert clean[0] == rows[0][1]
 
 
+def test_pii_masks_revealing_terms_in_the_whole_document(spark):
+    rows = [(i, f"some words of text {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}") for i in range(300)]
+    rows += [(1000, "Ackbar says\n" + "some words of text " * 9 + "x@y.org\n12ackbar ACKBAR, ackbars some ackbar@q.de")]
+    clean = {r.doc_id: r.text for r in pii.sanitize(_docs(spark, rows)).collect()}
+    assert clean[1000] == "[TERM] [TERM]\n" + "some words of text " * 9 + "[EMAIL]\n[TERM] [TERM], [TERM] some [EMAIL]"
+
+
 def test_pipeline_keeps_clean_documents(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
