@@ -8,9 +8,9 @@ beginning of the next output rewrites history: such conversations are marked
 and get no mask.
 
 Texts are escaped before rendering so that no control string is left in them,
-and can be restored. A turn is rendered after at most ``HEAD`` first and ``TAIL`` last
-turns before it, so a conversation's cost is linear in its turns; up to
-``HEAD + TAIL`` turns this is the whole prefix.
+and can be restored. A turn is rendered after all turns before it, so a
+conversation's cost grows with the square of its turns: nothing less tells what
+a black box does with a long prefix.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ from keelson.llm import common
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
-HEAD, TAIL = 8, 64
 START, STOP = "<|im_start|>", "<|im_end|>"
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(STOP) + "\n", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
@@ -71,18 +70,14 @@ def text_place(span: str, bare: str, text: str) -> int:
     raise Rewritten("a text is not in its span as it is")
 
 
-def render(turns: list[Turn], template: Template = chatml, head: int = HEAD, tail: int = TAIL) -> tuple[str, list[tuple[int, int, int, int]]]:
+def render(turns: list[Turn], template: Template = chatml) -> tuple[str, list[tuple[int, int, int, int]]]:
     """The output for escaped turns and per turn (start, end, text start, text end), in code points."""
     out, at, places = [], 0, []
     before = template([])
     out.append(before)
     at = len(before)
     for k, (role, text) in enumerate(turns):
-        if k > head + tail:
-            context = turns[:head] + turns[k - tail : k]
-            before = template(context)
-        else:
-            context = turns[:k]
+        context = turns[:k]
         now = template([*context, (role, text)])
         if not now.startswith(before):
             raise Rewritten(f"turn {k} changes what was before it")

@@ -149,6 +149,17 @@ def test_chat_round_trip_and_rewriting(spark):
     assert chat.format_conversations(table.limit(0)).count() == 0
 
 
+def test_chat_finds_rewriting_in_long_conversations(spark):
+    forgets = lambda turns: chat.chatml(turns if len(turns) <= 100 else turns[1:])
+    counts = lambda turns: "".join(f"{k}:{chat.chatml([t])}" for k, t in enumerate(turns))
+    turns = [("user", f"t{k}") for k in range(150)]
+    table = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    assert chat.format_conversations(table, forgets).first().rewritten
+    got = chat.format_conversations(table, counts).first()
+    assert (got.formatted, got.rewritten) == (counts(turns), False)
+    assert all(got.formatted[p.text_start : p.text_end] == t for (_, t), p in zip(turns, got.turns, strict=True))
+
+
 def test_toxicity_on_held_out_rows(spark):
     r = random.Random(4)
     plain = [f"w{k}" for k in range(300)]
