@@ -32,8 +32,8 @@ from keelson.llm import common
 LONG, PAGES, COVERED, GROUP = 8, 3, 0.8, 2_000_000
 
 #: Elements by what they mean for the text.
-RAW = frozenset("script style noscript template iframe svg math object head title textarea select".split())
-TEMPLATE = frozenset("nav header footer aside form button menu dialog".split())
+RAW = frozenset("script style noscript template iframe svg math object title textarea select".split())
+TEMPLATE = frozenset("head nav header footer aside form button menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -46,6 +46,11 @@ WORDS = frozenset(
 PROTECT = frozenset(("html", "body", "article", "main"))
 COMMENT_WORDS = frozenset("comment comments reply replies".split())
 
+#: What a head holds; other elements end it, as HTML has it.
+HEAD = RAW | frozenset("base link meta".split())
+#: Where a raw element without an end tag ends.
+_BREAK = re.compile(rf"</?(?:{'|'.join(sorted(CLOSES_P | {'body', 'html', 'head', 'li'}))})(?![a-z0-9-])", re.I)
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>", re.S)
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[^a-z0-9]+")
@@ -74,6 +79,7 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, bool, int]] = []  # name, template, main
     held: list[str] = []
     template, main = False, 0
+    unclosed: set[str] = set()  # raw elements without an end tag from here on
 
     def end() -> None:
         if held:
@@ -96,7 +102,19 @@ def blocks_of(page: str) -> list[Block]:
             continue
         name = name.lower()
         if name in INLINE:
-            if name in VOID or not attributes or close:
+            if name in VOID:
+                continue
+            if close:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == name:
+                        _, before, main = stack[k - 1] if k else ("", False, 0)
+                        if before != template:
+                            end()
+                        del stack[k:]
+                        template = before
+                        break
+                    if stack[k][0] not in INLINE:
+                        break
                 continue
         else:
             end()
@@ -111,13 +129,20 @@ def blocks_of(page: str) -> list[Block]:
         if name in VOID or attributes.endswith("/"):
             continue
         if name in RAW:
-            stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else n
+            stop = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            if stop:
+                at = stop.end()
+            else:
+                unclosed.add(name)
+                stop = _BREAK.search(page, at)
+                at = stop.start() if stop else n
             continue
+        if stack and stack[-1][0] == "head" and name not in HEAD:
+            stack.pop()
+            _, template, main = stack[-1] if stack else ("", False, 0)
         if name in INLINE:
-            if not _is_template(name, attributes, main == 2):
-                continue
-            end()
+            if not template and _is_template(name, attributes, main == 2):
+                end()
         elif name in CLOSES_P or name == "li":
             gone = "li" if name == "li" else "p"
             for k in range(len(stack) - 1, -1, -1):

@@ -259,6 +259,13 @@ def test_html(spark):
     assert got == {1: ("T & t\nx y z\ntwo", 15), 2: ("", 0), None: ("T & t\nx y z\ntwo", 15)}
 
 
+def test_html_of_inline_templates_and_unclosed_raw_elements():
+    page = '<article><span class="share">Share<span>x</span>y</span><p>A</p><p>B <b>c</b> d</p></article>'
+    assert html.main_texts([page]) == ["A\nB c d"]
+    assert html.main_texts(['<article><p>x <a class="social">t</a> y</p></article>']) == ["x\ny"]
+    assert html.main_texts(["<html><head><title>T</title><meta a=b><body><p>text</p>", "<head><title>T<p>text</p>", "<p>a<svg><path d=x></p><p>b</p>"]) == ["text", "text", "a\nb"]
+
+
 def test_suffix_coverage_equals_brute_force():
     r = random.Random(6)
     shared = [r.randrange(1000, 1100) for _ in range(12)]
