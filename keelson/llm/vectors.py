@@ -8,8 +8,12 @@ are united to components. Equal vectors are one class from the start, so
 copies by the thousand are one row in the passes.
 
 All passes are one range sort by (dimension, pass, bits). Each task compares inside its
-range and sends its first and last rows on, so that ranges are also compared
-across their borders.
+range and sends its first and last rows on, over as many ranges as the window
+reaches, so that ranges are also compared across their borders.
+
+The passes decide the components only. Within each component all vectors are
+then compared, in pairs of blocks of about ``BLOCK`` vectors, so the links of a
+large group are whole however small the window is.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from keelson.llm import common
 
 BITS = 62
+BLOCK = 2048
 
 
 def planes(dim: int, passes: int, seed: int) -> np.ndarray:
@@ -166,10 +171,74 @@ def _borders(window: int, least: float):
     return run, "a long, b long"
 
 
+def _block_degrees(least: float):
+    """Rows (component, i, j, side, id, m, unit), sorted by the first four, to (id, linked): the rows m linked to id in blocks i and j."""
+
+    def settle(rows: list[tuple], same: bool) -> Iterator[pa.RecordBatch]:
+        ids, m = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+        x = np.frombuffer(b"".join(r[3] for r in rows)).reshape(len(rows), -1)
+        cut = 0 if same else sum(r[0] == 0 for r in rows)
+        linked = np.zeros(len(rows), np.int64)
+        for s in range(0, len(rows) if same else cut, 256):
+            e = min(s + 256, len(rows) if same else cut)
+            near = x[s:e] @ x[cut:].T >= least
+            if same:
+                near[np.arange(e - s), np.arange(s, e)] = False
+            linked[s:e] += near @ m[cut:]
+            if not same:
+                linked[cut:] += m[s:e] @ near
+        some = linked > 0
+        yield pa.record_batch([pa.array(ids[some]), pa.array(linked[some])], names=["id", "linked"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            for c, i, j, side, one, m, unit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (c, i, j) != key and rows:
+                    yield from settle(rows, key[1] == key[2])
+                    rows = []
+                key = (c, i, j)
+                rows.append((side, one, m, unit))
+        if rows:
+            yield from settle(rows, key[1] == key[2])
+
+    return run, "id long, linked long"
+
+
+def _degrees(classes: DataFrame, parts_of: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(id, linked): the rows of other classes of its component that each class is linked to."""
+    spark = classes.sparkSession
+    sizes = parts_of.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = classes.join(parts_of, F.col("rep") == F.col("node")).join(sizes, "component")
+    own = own.withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = own.select("component", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), (F.col("at") > F.col("with")).cast("int").alias("side"), F.col("rep").alias("id"), "m", "unit")
+    dealt = dealt.repartition(common.partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j", "side")
+    run, schema = _block_degrees(least)
+    return dealt.mapInArrow(run, schema).groupBy("id").agg(F.sum("linked").alias("linked"))
+
+
+def _reached(ends: list, window: int) -> list[tuple[int, int, int]]:
+    """Of (task, side, rows, first key, last key) by task and side: (task, side, border), a border being the task before it.
+
+    A range's first rows also reach over shorter ranges before it, as far as the window goes.
+    """
+    heads, out = [e for e in ends if e[1] == 0], [(e[0], 1, e[0]) for e in ends if e[1] == 1]
+    tails = {e[0]: e for e in ends if e[1] == 1}
+    for k, head in enumerate(heads):
+        between = 0
+        for before in reversed(heads[:k]):
+            out.append((head[0], 0, before[0]))
+            tail = tails[before[0]]
+            between += before[2]
+            if between >= window or tail[2] != before[2] or before[3] != head[3] or tail[3] != head[3]:
+                break
+    return out
+
+
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, passes: int = 24, window: int = 128, seed: int = 11) -> DataFrame:
     """(id, n_links, component_id, kept) of every vector.
 
-    ``n_links`` counts the other vectors that the passes linked to it directly
+    ``n_links`` counts the other vectors of its component that are near enough
     (copies are linked to all that their class is linked to). Vectors that are
     null, empty, zero or hold null or non-finite components link with nothing,
     as do rows with a null id. Vectors of different dimension are not
@@ -190,18 +259,18 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     swept = common.saved(ordered.mapInArrow(run, schema), "swept")
     inside = swept.where("a is not null").select("a", "b")
     edge = swept.where("a is null").drop("a", "b")
-    tasks = sorted(r[0] for r in edge.select("task").distinct().collect())  # the ranges that have rows
-    if len(tasks) > 1:
-        ranks = F.broadcast(spark.createDataFrame(list(enumerate(tasks)), "rank int, task int"))
-        edge = edge.join(ranks, "task").select((F.col("rank") - F.when(F.col("side") == 0, 1).otherwise(0)).alias("border"), (1 - F.col("side")).alias("side"), "place", "dim", "pass", "id", "unit")
+    ends = edge.groupBy("task", "side").agg(F.count("*"), F.min(F.struct("dim", "pass")), F.max(F.struct("dim", "pass"))).collect()  # two rows a range
+    reached = _reached(sorted(tuple(r) for r in ends), window)
+    if any(side == 0 for _, side, _ in reached):
+        borders = F.broadcast(spark.createDataFrame(reached, "task int, side int, border int"))
+        edge = edge.join(borders, ["task", "side"]).select("border", (1 - F.col("side")).alias("side"), "place", "dim", "pass", "id", "unit", "task")
         run, schema = _borders(window, least)
-        across = edge.repartition(parts, "border").sortWithinPartitions("border", "side", "place").mapInArrow(run, schema)
+        across = edge.repartition(parts, "border").sortWithinPartitions("border", "side", "task", "place").drop("task").mapInArrow(run, schema)
         inside = inside.union(across)
     links = common.saved(inside.distinct(), "links")
     size = classes.select("rep", "m")
-    both = links.union(links.select("b", "a")).join(size.withColumnRenamed("rep", "b"), "b")
-    degree = both.groupBy("a").agg(F.sum("m").alias("linked"))
-    parts_of = common.components(links)
+    parts_of = common.saved(common.components(links), "components")
+    degree = _degrees(classes, parts_of, least).withColumnRenamed("id", "a")
     found = size.join(degree, size.rep == degree.a, "left").join(parts_of, size.rep == parts_of.node, "left")
     found = found.select("rep", (F.col("m") - 1 + F.coalesce("linked", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
     marks = classes.select("mark", "rep").join(found, "rep").select(F.col("mark").alias("of"), "n", "component")

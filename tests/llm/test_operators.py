@@ -231,6 +231,22 @@ def test_vectors_equal_brute_force(spark):
     assert vectors.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_vector_links_of_a_large_group_are_whole(spark):
+    r = np.random.default_rng(7)
+    x = r.normal(size=32) + r.normal(size=(2500, 32)) * 0.17
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {q.vec_id: q.n_links for q in vectors.near_duplicates(table, passes=4, window=16).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert all(got[k] == want[k] for k in range(2500))
+
+
+def test_vector_borders_reach_over_short_ranges():
+    ends = [(t, side, 5, (2, 0), (2, 0)) for t in range(4) for side in (0, 1)]
+    got = set(vectors._reached(ends, 8))
+    assert {(t, 0, b) for t in range(4) for b in range(max(0, t - 2), t)} == {g for g in got if g[1] == 0}
+
+
 def test_bpe_equals_the_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     own = bpe.Codec(path, public_tokenizers.PATTERN, native=False)
