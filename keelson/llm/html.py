@@ -1,18 +1,30 @@
-"""HTML main text: page structure, and a suffix array over each host's pages.
+"""HTML main text: a suffix array over each host's pages, with the pages' structure as a hint.
 
 A page becomes blocks of text with the elements around them. What stands in
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
-reader comments is template. Of the rest, the blocks of the page's articles (or
-its main element) are its text. Pages without such an element are left to the
-suffix array: the token streams of a host's pages, all blocks included, are concatenated and
-their suffixes ordered by their first ``LONG`` tokens (by prefix doubling).
-Neighbours that agree in all of these are one substring; where it stands on
-``PAGES`` distinct pages or more, its tokens are covered. Blocks that are
-covered for the most part are boilerplate; the others, the unique runs, stay.
-
-A host's pages are dealt to groups of about ``GROUP`` characters by hash, so a
-host with a third of all pages is many groups; what is repeated all over a
-host is repeated in each.
+reader comments, by its elements or by a plain word in a class, id or role, is
+template. The token streams of a host's pages, all blocks included, are
+concatenated and their suffixes ordered by their first ``LONG`` tokens (by
+prefix doubling). Neighbours that agree in all of these are one substring, of
+which the distinct pages are counted. Tokens inside a substring that enough
+pages share are covered; a block that is covered for the most part is
+boilerplate, the others, the unique runs, stay. How many pages are enough
+depends on the hint:
+
+* outside articles and the main element, and where a class is only doubtful
+  (``DOUBTFUL``): ``PAGES`` pages;
+* inside an article or the main element: ``PAGES`` and ``SHARE`` of the host's
+  pages. Text of an article may recur on some pages of a host (a title, a
+  quoted passage, a copied article), what the host puts into all of them is
+  its own.
+
+Where a page has an article or a main element, text outside is left out.
+
+A host's pages are dealt to groups of about ``GROUP`` characters, each with a
+suffix array of its own. For hosts of several groups the counts of pages are
+summed over the host: each group sends its substrings' hashes and counts to the
+host's counting tasks, dealt by hash, and gets back those that are repeated. So a
+substring's pages are those of the whole host, whatever its size.
 """
 
 from __future__ import annotations
@@ -24,12 +36,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm import common
+from keelson.llm.words import mix
 
-LONG, PAGES, COVERED, GROUP = 8, 3, 0.8, 2_000_000
+LONG, PAGES, SHARE, COVERED, GROUP = 8, 3, 0.5, 0.8, 500_000
 
 #: Elements by what they mean for the text.
 RAW = frozenset("script style noscript template iframe svg math object title textarea select".split())
@@ -39,10 +53,12 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: Words in a class, id or role that mark template.
 WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup "
-    "sidebar menu menubar nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead comment comments replies disqus share sharing social related recommended popup modal "
-    "overlay widget toolbar complementary contentinfo search login".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr notice notices newsletter subscribe signup "
+    "sidebar menu menubar nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead comment comments replies disqus share sharing "
+    "widget toolbar complementary contentinfo".split()
 )
+#: Words that mark template outside an article, and inside one only where the host repeats the text.
+DOUBTFUL = frozenset("promotion banner alert subscription social related recommended popup modal overlay search login".split())
 PROTECT = frozenset(("html", "body", "article", "main"))
 COMMENT_WORDS = frozenset("comment comments reply replies".split())
 
@@ -61,31 +77,35 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Block:
     text: str
     template: bool  # inside an element that is never text
+    doubtful: bool  # inside an element that may be template
     main: int  # 2 inside an article, 1 inside the main element, else 0
 
 
-def _is_template(name: str, attributes: str, in_article: bool) -> bool:
+def _is_template(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is template, and whether it may be."""
     if name in TEMPLATE:
-        return not (name == "header" and in_article)
+        return not (name == "header" and in_article), False
     if not attributes:
-        return False
+        return False, False
     marks = {w for m in _MARKS.finditer(attributes) for w in _WORD.split(_CAMEL.sub("-", m[1] or m[2] or m[3] or "").lower())}
-    return bool(marks & (COMMENT_WORDS if name in PROTECT else WORDS))
+    if name in PROTECT:
+        return bool(marks & COMMENT_WORDS), False
+    return bool(marks & WORDS), bool(marks & DOUBTFUL)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text in order. Unclosed elements end with what holds them."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # name, template, main
+    stack: list[tuple[str, tuple[bool, bool, int]]] = []  # name, (template, doubtful, main)
     held: list[str] = []
-    template, main = False, 0
+    outside = now = (False, False, 0)
     unclosed: set[str] = set()  # raw elements without an end tag from here on
 
     def end() -> None:
         if held:
             text = " ".join(html_lib.unescape("".join(held)).split())
             if text:
-                out.append(Block(text, template, main))
+                out.append(Block(text, *now))
             held.clear()
 
     at, n = 0, len(page)
@@ -107,11 +127,11 @@ def blocks_of(page: str) -> list[Block]:
             if close:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
-                        _, before, main = stack[k - 1] if k else ("", False, 0)
-                        if before != template:
+                        before = stack[k - 1][1] if k else outside
+                        if before[:2] != now[:2]:
                             end()
                         del stack[k:]
-                        template = before
+                        now = before
                         break
                     if stack[k][0] not in INLINE:
                         break
@@ -123,7 +143,7 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[k][0] == name:
                     end()
                     del stack[k:]
-                    _, template, main = stack[-1] if stack else ("", False, 0)
+                    now = stack[-1][1] if stack else outside
                     break
             continue
         if name in VOID or attributes.endswith("/"):
@@ -139,121 +159,227 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if stack and stack[-1][0] == "head" and name not in HEAD:
             stack.pop()
-            _, template, main = stack[-1] if stack else ("", False, 0)
+            now = stack[-1][1] if stack else outside
+        hidden, may_be = _is_template(name, attributes, now[2] == 2)
         if name in INLINE:
-            if not template and _is_template(name, attributes, main == 2):
+            if (hidden and not now[0]) or (may_be and not now[1]):
                 end()
         elif name in CLOSES_P or name == "li":
             gone = "li" if name == "li" else "p"
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == gone:
                     del stack[k:]
-                    _, template, main = stack[-1] if stack else ("", False, 0)
+                    now = stack[-1][1] if stack else outside
                     break
                 if stack[k][0] not in INLINE:
                     break
-        template = template or _is_template(name, attributes, main == 2)
-        main = max(main, 2 if name == "article" else 1 if name == "main" else 0)
-        stack.append((name, template, main))
+        now = (now[0] or hidden, now[1] or may_be, max(now[2], 2 if name == "article" else 1 if name == "main" else 0))
+        stack.append((name, now))
     end()
     return out
 
 
-def covered(streams: list[np.ndarray], long: int = LONG, pages: int = PAGES) -> list[np.ndarray]:
-    """Per page which of its tokens lie in a substring of ``long`` tokens that ``pages`` distinct pages share.
+@dataclass(slots=True)
+class Substrings:
+    """All substrings of ``long`` tokens of some pages, in suffix array order."""
+
+    sizes: np.ndarray  # tokens of each page
+    start: np.ndarray  # where each occurrence stands in the concatenation, by substring, then place
+    which: np.ndarray  # the substring of each occurrence
+    pages: np.ndarray  # per substring, its distinct pages
+    mark: np.ndarray  # per substring, a hash of its tokens
+    long: int
 
-    The suffix array is ordered as far as ``long`` tokens reach, a power of two.
-    """
+    def covered(self, often: np.ndarray) -> list[np.ndarray]:
+        """Per page which of its tokens lie in one of the substrings that are often."""
+        begins = np.r_[0, np.cumsum(self.sizes + 1)]
+        edges = np.zeros(int(begins[-1]) + self.long + 1, np.int64)
+        starts = self.start[often[self.which]]
+        edges[starts] += 1
+        edges[starts + self.long] -= 1
+        mask = np.cumsum(edges) > 0
+        return [mask[b : b + s] for b, s in zip(begins[:-1], self.sizes, strict=True)]
+
+
+def substrings(streams: list[np.ndarray], long: int = LONG) -> Substrings:
+    """The suffix array of the concatenated streams (token hashes), ordered as far as ``long`` tokens, a power of two."""
     sizes = np.array([len(s) for s in streams], np.int64)
     total = int(sizes.sum()) + len(streams)
-    if not total:
-        return [np.zeros(0, bool) for _ in streams]
+    begins = np.r_[0, np.cumsum(sizes + 1)]
     owner = np.repeat(np.arange(len(streams)), sizes + 1)
-    begins = np.r_[0, np.cumsum(sizes + 1)[:-1]]
-    tokens = np.empty(total, np.uint64)
-    for b, s in zip(begins, streams, strict=True):
+    tokens = np.zeros(total, np.uint64)
+    for b, s in zip(begins, streams):
         tokens[b : b + len(s)] = s
-    stops = begins + sizes
     _, rank = np.unique(tokens, return_inverse=True)
     rank = rank.astype(np.int64) + len(streams)
-    rank[stops] = np.arange(len(streams))  # a separator equals no other
+    rank[begins[1:] - 1] = np.arange(len(streams))  # a separator equals no other
     reach = 1
+    marks = mix(tokens)
     while reach < long:
         after = np.full(total, -1, np.int64)
-        after[: total - reach] = rank[reach:]
+        after[: max(total - reach, 0)] = rank[reach:]
         _, rank = np.unique(rank * (total + len(streams) + 1) + after + 1, return_inverse=True)
+        with np.errstate(over="ignore"):
+            marks[: max(total - reach, 0)] += mix(marks[reach:], reach)
+            marks = mix(marks, long + reach)
         reach *= 2
-    order = np.argsort(rank, kind="stable")  # within a substring by place, so by page
-    same = np.r_[False, rank[order][1:] == rank[order][:-1]]
-    new_page = ~same | np.r_[True, owner[order][1:] != owner[order][:-1]]
-    first = np.flatnonzero(~same)
-    distinct = np.add.reduceat(new_page.astype(np.int64), first)
-    often = np.repeat(distinct >= pages, np.diff(np.r_[first, total]))
-    edges = np.zeros(total + reach + 1, np.int64)
-    starts = order[often]
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + reach, -1)
-    mask = np.cumsum(edges)[:total] > 0
-    return [mask[b : b + s] for b, s in zip(begins, sizes, strict=True)]
+    inside = np.arange(total) + long <= begins[1:][owner] - 1 if total else np.zeros(0, bool)
+    start = np.flatnonzero(inside)
+    start = start[np.argsort(rank[start], kind="stable")]  # within a substring by place, so by page
+    new = np.r_[True, rank[start][1:] != rank[start][:-1]][: len(start)]
+    new_page = new | np.r_[True, owner[start][1:] != owner[start][:-1]][: len(start)]
+    first = np.flatnonzero(new)
+    pages = np.add.reduceat(new_page.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    return Substrings(sizes, start, np.cumsum(new) - 1, pages, marks[start[first]], long)
 
 
-def main_texts(pages: list[str]) -> list[str]:
-    """The main texts of one group of a host's pages."""
-    parsed = [blocks_of(p) for p in pages]
-    split = [[b.text.lower().split() for b in page] for page in parsed]
+def _tokens(texts: list[str], known: dict[str, int]) -> list[list[int]]:
+    """Per block the hashes of its lower-cased words."""
+    out = []
+    for text in texts:
+        words = text.lower().split()
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w)
+        out.append([known[w] for w in words])
+    return out
+
+
+def _streams(pages: list[list[str]]) -> tuple[list[list[list[int]]], Substrings]:
     known: dict[str, int] = {}
-    streams = [np.array([known.setdefault(w, len(known)) for block in page for w in block], np.uint64) for page in split]
-    masks = covered(streams)
+    tokens = [_tokens(page, known) for page in pages]
+    return tokens, substrings([np.array([t for block in page for t in block], np.uint64) for page in tokens])
+
+
+def kept_texts(pages: list[list[Block]], host_pages: int | None = None, marks: np.ndarray | None = None, counts: np.ndarray | None = None) -> list[str]:
+    """The main texts of one group of a host's pages, all of them or with the host's number of pages and the counts of its repeated substrings (marks ascend)."""
+    tokens, found = _streams([[b.text for b in page] for page in pages])
+    distinct = found.pages
+    if marks is not None and len(marks):
+        at = np.minimum(np.searchsorted(marks, found.mark), len(marks) - 1)
+        distinct = np.where(marks[at] == found.mark, counts[at], distinct)
+    share = max(PAGES, SHARE * (len(pages) if host_pages is None else host_pages))
+    some, most = found.covered(distinct >= PAGES), found.covered(distinct >= share)
     out = []
-    for page, words, mask in zip(parsed, split, masks, strict=True):
+    for page, own, often, everywhere in zip(pages, tokens, some, most, strict=True):
         best = max((b.main for b in page if not b.template), default=0)
         kept, at = [], 0
-        for block, w in zip(page, words, strict=True):
-            hidden = mask[at : at + len(w)]
-            at += len(w)
-            if block.template or block.main < best:
-                continue
-            if best == 0 and hidden.mean() >= COVERED:
+        for block, words in zip(page, own, strict=True):
+            here = slice(at, at + len(words))
+            at += len(words)
+            if block.template or block.main < best or (block.doubtful and not block.main):
                 continue
-            kept.append(block.text)
+            mask = often if block.doubtful or not block.main else everywhere
+            if mask[here].mean() < COVERED:
+                kept.append(block.text)
         out.append("\n".join(kept))
     return out
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, part, page, url, html), sorted by the first two, to (page, url, text)."""
-    names = ["page", "url", "text"]
+def main_texts(pages: list[str]) -> list[str]:
+    """The main texts of a host's pages."""
+    return kept_texts([blocks_of(p) for p in pages])
+
 
-    def done(rows: list[tuple]) -> pa.RecordBatch:
-        ids, urls, pages = zip(*rows, strict=True)
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(main_texts(list(pages)), pa.string())], names=names)
+_PARSED = "host string, part int, parts int, host_pages long, page long, url string, texts array<string>, kinds binary"
+_COUNTED = "host string, deal int, part int, marks binary, counts binary"
 
-    key, rows = None, []
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, html, to (texts, kinds): a byte a block. Batches of about 4 MB of html."""
     for batch in batches:
-        for host, part, page, url, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (host, part) != key and rows:
-                yield done(rows)
-                rows = []
-            key = (host, part)
-            rows.append((page, url, text))
-    if rows:
-        yield done(rows)
+        texts, kinds, have, since = [], [], 0, 0
+        for k, page in enumerate(batch.column(batch.num_columns - 1)):
+            html = page.as_py()
+            blocks = blocks_of(html)
+            texts.append([b.text for b in blocks])
+            kinds.append(bytes(b.main | b.doubtful << 2 | b.template << 3 for b in blocks))
+            have += len(html)
+            if have > 4 << 20 or k + 1 == batch.num_rows:
+                done = pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(since, k + 1 - since).columns[:-1], *done], names=[*batch.schema.names[:-1], "texts", "kinds"])
+                texts, kinds, have, since = [], [], 0, k + 1
+
+
+def _blocks(group: pa.Table) -> list[list[Block]]:
+    return [
+        [Block(t, bool(k & 8), bool(k & 4), k & 3) for t, k in zip(texts, kinds, strict=True)]
+        for texts, kinds in zip(group.column("texts").to_pylist(), group.column("kinds").to_pylist(), strict=True)
+    ]
+
+
+def _counts(group: pa.Table) -> pa.Table:
+    """The substrings of one group of a host of several groups: hashes and pages, dealt by hash over as many tasks as groups."""
+    schema = pa.schema([("host", pa.string()), ("deal", pa.int32()), ("part", pa.int32()), ("marks", pa.binary()), ("counts", pa.binary())])
+    host, part, parts = (group.column(c)[0].as_py() for c in ("host", "part", "parts"))
+    if parts == 1:
+        return schema.empty_table()
+    _, found = _streams(group.column("texts").to_pylist())
+    by = np.argsort(found.mark)
+    marks, pages = found.mark[by], found.pages[by].astype(np.int32)
+    deal = ((marks >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+    rows = [(host, int(d), part, marks[deal == d].tobytes(), pages[deal == d].tobytes()) for d in np.unique(deal)]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else schema.empty_table()
+
+
+def _repeated(group: pa.Table) -> pa.Table:
+    """The parts' counts (host, deal, part, marks, counts) summed; each part gets back those of its substrings that are repeated."""
+    marks = [np.frombuffer(x, np.uint64) for x in group.column("marks").to_pylist()]
+    counts = [np.frombuffer(x, np.int32) for x in group.column("counts").to_pylist()]
+    unique, at = np.unique(np.concatenate(marks), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate(counts)).astype(np.int32)
+    out, begin = ([], []), 0
+    for own in marks:
+        here = at[begin : begin + len(own)]
+        often = total[here] >= PAGES
+        out[0].append(own[often].tobytes())
+        out[1].append(total[here][often].tobytes())
+        begin += len(own)
+    return pa.Table.from_arrays([group.column("host").combine_chunks(), group.column("deal").combine_chunks(), group.column("part").combine_chunks(), *(pa.array(x, pa.binary()) for x in out)], names=["host", "deal", "part", "marks", "counts"])
+
+
+_TEXTS = pa.schema([("page", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+
+
+def _texts_alone(group: pa.Table) -> pa.Table:
+    return _texts_with(group, None)
+
+
+def _texts_with(group: pa.Table, known: pa.Table | None) -> pa.Table:
+    """The main texts of one group, given what the host repeats."""
+    if not group.num_rows:
+        return _TEXTS.empty_table()
+    marks = counts = None
+    if known is not None and known.num_rows:
+        marks = np.concatenate([np.frombuffer(x, np.uint64) for x in known.column("marks").to_pylist()])
+        counts = np.concatenate([np.frombuffer(x, np.int32) for x in known.column("counts").to_pylist()])
+        by = np.argsort(marks)
+        marks, counts = marks[by], counts[by]
+    texts = kept_texts(_blocks(group), group.column("host_pages")[0].as_py(), marks, counts)
+    return pa.Table.from_arrays([group.column("page").combine_chunks(), group.column("url").combine_chunks(), pa.array(texts, pa.string())], schema=_TEXTS)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP) -> DataFrame:
     """(id, url, text, n_chars) of every row.
 
     A null html is an empty page with an empty text; null urls form a host of
     their own. Repeated rows count as pages of their own, null ids stay. Other columns, of
-    any name, are ignored; an empty table gives an empty result.
+    any name, are ignored; an empty table gives an empty result. ``group`` says
+    how many characters one suffix array takes; the result does not depend on it.
     """
     spark = pages.sparkSession
+    common.bounded_batches(spark)
     host = F.regexp_extract(F.lower(F.coalesce(F.col(url_col), F.lit(""))), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
     rows = pages.select(host.alias("host"), F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), common.text_or_empty(html_col).alias("html"))
-    sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.length("html")) / GROUP).cast("int").alias("parts")).where("parts > 1")
-    sizes = common.saved(sizes, "hosts")  # hosts above one group: few, and counted
-    large = common.broadcast_if_small(sizes, sizes.count())
-    dealt = rows.join(large, "host", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("page", "url"), F.col("parts"))).cast("int"))
-    dealt = dealt.select("host", "part", "page", "url", "html").repartition(common.partitions(spark), "host", "part").sortWithinPartitions("host", "part")
-    found = dealt.mapInArrow(_extract, "page long, url string, text string")
+    sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.length("html")) / group).cast("int").alias("parts"), F.count("*").alias("host_pages"))
+    sizes = common.saved(sizes.where("parts > 1"), "hosts")  # hosts above one group: few, and counted
+    several = sizes.count()
+    dealt = rows.join(common.broadcast_if_small(sizes, several), "host", "left")
+    own = F.pmod(F.xxhash64("page", "url", F.xxhash64("html")), F.col("parts")).cast("int")
+    dealt = dealt.select("host", F.coalesce(own, F.lit(0)).alias("part"), F.coalesce("parts", F.lit(1)).alias("parts"), "host_pages", "page", "url", "html")
+    parsed = dealt.mapInArrow(_parse, _PARSED)
+    if several:
+        known = parsed.groupBy("host", "part").applyInArrow(_counts, _COUNTED).groupBy("host", "deal").applyInArrow(_repeated, _COUNTED)
+        found = parsed.groupBy("host", "part").cogroup(known.groupBy("host", "part")).applyInArrow(_texts_with, "page long, url string, text string")
+    else:
+        found = parsed.groupBy("host", "part").applyInArrow(_texts_alone, "page long, url string, text string")
     return found.select(F.col("page").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

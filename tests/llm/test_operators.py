@@ -278,19 +278,82 @@ def test_html(spark):
 def test_html_of_inline_templates_and_unclosed_raw_elements():
     page = '<article><span class="share">Share<span>x</span>y</span><p>A</p><p>B <b>c</b> d</p></article>'
     assert html.main_texts([page]) == ["A\nB c d"]
-    assert html.main_texts(['<article><p>x <a class="social">t</a> y</p></article>']) == ["x\ny"]
+    assert html.main_texts(['<article><p>x <a class="share">t</a> y</p></article>']) == ["x\ny"]
     assert html.main_texts(["<html><head><title>T</title><meta a=b><body><p>text</p>", "<head><title>T<p>text</p>", "<p>a<svg><path d=x></p><p>b</p>"]) == ["text", "text", "a\nb"]
 
 
-def test_suffix_coverage_equals_brute_force():
+def _windows(pages):
+    """Brute force: the distinct pages of every run of 8 words."""
+    owners = {}
+    for k, page in enumerate(pages):
+        words = [w for b in page for w in b.text.lower().split()]
+        for i in range(len(words) - 7):
+            owners.setdefault(tuple(words[i : i + 8]), set()).add(k)
+    return owners
+
+
+def _brute_texts(pages):
+    owners, out = _windows(pages), []
+    for page in pages:
+        words = [w for b in page for w in b.text.lower().split()]
+        seen = np.zeros(len(words))
+        for i in range(len(words) - 7):
+            n = len(owners[tuple(words[i : i + 8])])
+            seen[i : i + 8] = np.maximum(seen[i : i + 8], n)
+        best, at, kept = max((b.main for b in page if not b.template), default=0), 0, []
+        for b in page:
+            n = len(b.text.split())
+            least = 3 if b.doubtful or not b.main else max(3, len(pages) / 2)
+            if not b.template and b.main >= best and not (b.doubtful and not b.main) and (seen[at : at + n] >= least).mean() < 0.8:
+                kept.append(b.text)
+            at += n
+        out.append("\n".join(kept))
+    return out
+
+
+def test_html_equals_brute_force_whatever_the_groups(spark):
+    r = random.Random(6)
+    line = lambda n: " ".join(f"w{r.randrange(40)}" for _ in range(n))
+    notes, titles = [line(12) for _ in range(3)], [line(9) for _ in range(4)]
+    pages = []
+    for k in range(60):
+        inner = f"<h1>{r.choice(titles)}</h1><p>{line(r.randint(1, 30))}</p><p>{notes[0]}</p><div class=related>{r.choice(notes)}</div><div class=banner>{line(9)}</div>"
+        body = f"<article>{inner}</article>" if k % 3 else inner
+        pages.append(f"<nav>{line(4)}</nav>{body}<p>{notes[1]}</p>")
+    pages += [pages[0]] * 4 + ["", "<p>Not Found</p>"]
+    want = _brute_texts([html.blocks_of(p) for p in pages])
+    assert html.main_texts(pages) == want
+    assert notes[0] not in "\n".join(want) and any(t in "\n".join(want) for t in titles)
+    rows = [(k, "http://h/x", p, 1) for k, p in enumerate(pages)] + [(100 + k, f"http://other{k}/", pages[1], 1) for k in range(2)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, part int")
+    for group in (400, 1 << 20):
+        got = {x.page_id: x.text for x in html.extract(table, group=group).collect()}
+        assert [got[k] for k in range(len(pages))] == want
+        assert got[100] == got[101] == html.main_texts([pages[1]])[0]
+    assert html.extract(table.limit(0)).count() == 0
+
+
+def test_html_of_short_and_long_pages():
+    assert html.main_texts(["<p>Not Found</p>"]) == ["Not Found"]
+    assert html.main_texts(["", "", ""]) == ["", "", ""]
+    assert html.main_texts(["<p>x", "<p>x"]) == ["x", "x"]
+    words = [f"w{k}" for k in range(300_000)]
+    assert html.main_texts([f"<article><p>{' '.join(words)}</article>"]) == [" ".join(words)]
+    assert html.main_texts(["<article><div class='search-results'>A</div><p>B</article>"]) == ["A\nB"]
+
+
+def test_suffix_counts_equal_brute_force():
     r = random.Random(6)
     shared = [r.randrange(1000, 1100) for _ in range(12)]
-    streams = [np.array([r.randrange(50) for _ in range(30)] + (shared if k % 2 else []) + [r.randrange(50) for _ in range(9)], np.uint64) for k in range(8)]
+    streams = [np.array([r.randrange(50) for _ in range(30)] + (shared if k % 2 else []) + [r.randrange(3) for _ in range(9)], np.uint64) for k in range(8)] + [np.zeros(0, np.uint64)]
     owners = {}
     for k, s in enumerate(streams):
         for i in range(len(s) - 7):
             owners.setdefault(tuple(s[i : i + 8]), set()).add(k)
-    for k, (s, mask) in enumerate(zip(streams, html.covered(streams), strict=True)):
+    found = html.substrings(streams)
+    assert sorted(found.pages.tolist()) == sorted(len(x) for x in owners.values())
+    assert len(set(found.mark.tolist())) == len(owners)
+    for k, (s, mask) in enumerate(zip(streams, found.covered(found.pages >= 3), strict=True)):
         want = np.zeros(len(s), bool)
         for i in range(len(s) - 7):
             if len(owners[tuple(s[i : i + 8])]) >= 3:
