@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +15,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors share: the session's checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where neither it
-    nor a checkpoint folder is set (tests, one machine) a temporary one is made.
+    ``spark.checkpoint.dir`` is read from the session. Where neither it nor a
+    checkpoint folder is set, a temporary one is made on one machine (tests);
+    a cluster without one is an error.
     """
     context = spark.sparkContext
     base = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="keelson-"))
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/tables"
@@ -28,7 +34,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that no later plan reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.saved_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -48,30 +64,69 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = 250_000) -> DataFr
     return F.broadcast(df) if rows <= limit else df
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of links u-v, for all nodes but those smallest ones."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        open_ = x != y
+        if not open_.any():
+            break
+        np.minimum.at(root, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
+        while not np.array_equal(up := root[root], root):
+            root = up
+        a, b = a[open_], b[open_]
+    below = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[below], nodes[root[below]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's links to the stars of its own components: the same components with a link a node at most."""
+    held, have = [], 0
+    for batch in batches:
+        held.append([batch.column(k).to_numpy() for k in (0, 1)])
+        have += batch.num_rows
+        if have > 1 << 20:
+            held = [stars(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))]
+            have = len(held[0][0])
+    if held:
+        u, v = stars(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+        for k in range(0, len(u), 1 << 16):
+            yield pa.record_batch([pa.array(u[k : k + (1 << 16)]), pa.array(v[k : k + (1 << 16)])], names=["u", "v"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = 300_000) -> DataFrame:
     """(node, component): the smallest node reachable over the given links.
 
-    Alternating large-star and small-star rounds; each replaces links by links
-    to smaller nodes until only stars remain, in about log2 of the longest
-    path rounds. Every round is a written table, so a lost executor costs one
-    round. Links with null ends and loops are ignored; repeated ones count once.
+    Each task first contracts the links it holds to stars. What is left is
+    finished in one task where it is counted and few (``one_task`` links, some
+    MB); else alternating large-star and small-star rounds, contracted again,
+    go on until nothing changes. Both ways give the same result. Every round is
+    a written table, so a lost executor costs one round. Links with null ends
+    and loops are ignored; repeated ones count once.
     """
-    now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    now = now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
+    now = saved(now.mapInArrow(_contract, "u long, v long"), "stars")
     mark = None
-    for _ in range(rounds):
+    while True:
+        new = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 40))).alias("s")).first()
+        if new.n <= one_task:
+            last, now = now, saved(now.repartition(1).mapInArrow(_contract, "u long, v long"), "stars")
+            release(last)
+            break
+        if new == mark:
+            break
+        mark = new
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        small = small.where("u <> v").distinct()
-        now = saved(small, "stars")
-        new = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 40))).alias("s")).first()
-        if new == mark:
-            break
-        mark = new
+        last, now = now, saved(small.where("u <> v").distinct(), "stars")
+        release(last)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

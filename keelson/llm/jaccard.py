@@ -455,7 +455,9 @@ def verified(rows: DataFrame, pairs: DataFrame, size: int, percent: int, salts:
     sets = rows.join(few, "id").select("id", "text", "tasks").mapInArrow(deal, dealt_schema)
     sets = sets.repartition(common.partitions(rows.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.desc("own"), "b")
     run, schema = _verify(percent)
-    return common.saved(sets.mapInArrow(run, schema), "links")
+    links = common.saved(sets.mapInArrow(run, schema), "links")
+    common.release(tasks)
+    return links
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -494,6 +496,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     runs_of, runs_schema = _runs(percent)
     posted = rows.mapInArrow(post, "deal int, tokens binary, ids binary, sizes binary").repartitionById(deals, "deal")
     found = common.saved(posted.mapInArrow(runs_of, runs_schema), "runs")
+    order.destroy()
     rep = members.select(F.col("id").alias("b"), "rep").distinct()
     links = found.where("run is null").select("a", "b")
     first = links.join(rep, "b").select("a", F.col("rep").alias("y")).join(rep.withColumnRenamed("b", "a"), "a")
@@ -504,6 +507,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = first.select(F.explode(F.array("a", "b")).alias("id")).union(several.select("rep")).distinct()
     marks = sized.join(nodes, "id", "left_semi").groupBy(F.col("id").alias("node")).agg(F.max_by(F.struct("n", "mark"), F.struct("hi", "lo")).alias("x"))
     marks = common.saved(marks.select("node", "x.n", "x.mark"), "marks")
+    common.release(scan, found)
     first = common.saved(may_link(first, marks, percent), "candidates")
     tested = common.saved(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "candidates")
     near = common.saved(common.components(verified(rows, tested, size, percent)), "near")
@@ -517,14 +521,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         tested, more = tested.union(pairs), verified(rows, pairs, size, percent)
         if not more.isEmpty():
             near = common.saved(common.components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "near")
+    common.release(several, marks, first)
     return members.join(near.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` whose id is that of their component; null ids stay. Of repeated rows one stays."""
+    """The rows of ``docs`` whose id is that of their component; null ids stay.
+
+    Of repeated rows one stays; rows with one id and different texts all do.
+    """
     found = jaccard_components(docs, id_col, text_col, size, percent)
-    keep = found.where(f"{id_col} = component_id").select(id_col).distinct()
-    one = docs.where(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return one.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    keep = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_keep")).agg(F.count("*").alias("_rows"))
+    own = docs.where(F.col(id_col).isNotNull()).select(F.struct(*docs.columns).alias("_own"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    kept = own.join(keep, own._id == keep._keep)
+    once = kept.where("_rows = 1").select("_own")
+    repeated = kept.where("_rows > 1").dropDuplicates(["_id", "_text"]).select("_own")
+    return once.unionByName(repeated).select("_own.*").unionByName(docs.where(F.col(id_col).isNull()))
