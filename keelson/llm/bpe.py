@@ -21,32 +21,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm import common
 
 #: Bytes up to which a match is merged directly; code points up to which a text is one leaf.
-LEAF, TEXT_LEAF = 64, 1 << 16
+LEAF, TEXT_LEAF = 16, 1 << 16
 _BREAK = regex.compile(r"(?<=\S)(?=\s)")
 #: A space inside a run of white space, or at the end of one that ends the text: no match need begin there.
 _RUN = re.compile(r"\s (?:\s|\Z)")
 
 
 class Codec:
-    """Encoder and decoder for a file of ranks (base64 token and rank a line). The cache of matches is emptied at ``limit``.
+    """Encoder and decoder for a file of ranks (base64 token and rank a line). The cache of matches is emptied at ``limit``."""
 
-    Leaves are merged by the tokenizer library's routine for one match, or with
-    ``native`` false by ``merge``, which spells the rule out.
-    """
-
-    def __init__(self, path: str, pattern: str, limit: int = 700_000, native: bool = True):
+    def __init__(self, path: str, pattern: str, limit: int = 700_000):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = {b: a for a, b in self.ranks.items()}
-        library = tiktoken.Encoding("leaf", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
-        self.leaf = library._core_bpe.encode_single_piece if native else self.merge
         self.find = regex.compile(pattern).findall
         self.limit = limit
         self.cache: dict[str, tuple[int, ...]] = {}
@@ -80,7 +73,7 @@ class Codec:
 
     def stable(self, a: int, b: int) -> bool:
         """Whether the two tokens side by side are the encoding of their bytes."""
-        return self.leaf(self.tokens[a] + self.tokens[b]) == [a, b]
+        return self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
 
     def join(self, a: list[int], b: list[int]) -> list[int]:
         """The encoding of the bytes of two encodings."""
@@ -98,7 +91,7 @@ class Codec:
     def encode_match(self, data: bytes, split: bool = True) -> list[int]:
         """The ids of one match: leaves merged directly, halves joined."""
         if len(data) <= LEAF or not split and len(data) <= 4 * LEAF or data in self.ranks:
-            return self.leaf(data)
+            return self.merge(data)
         middle = len(data) // 2
         return self.join(self.encode_match(data[:middle]), self.encode_match(data[middle:]))
 

@@ -249,7 +249,7 @@ def test_vector_borders_reach_over_short_ranges():
 
 def test_bpe_equals_the_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    own = bpe.Codec(path, public_tokenizers.PATTERN, native=False)
+    own = bpe.Codec(path, public_tokenizers.PATTERN)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
     r = random.Random(1)
     parts = ["a", "ab", "the ", "é", "漢", "😀", " ", "\n", "  ", "1", "!!", "'s", "<|endoftext|>", "x" * 50, "=" * 70]
