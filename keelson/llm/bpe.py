@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from keelson.llm import common
 
-#: Bytes up to which a match is merged directly; code points up to which a text is one leaf.
-LEAF, TEXT_LEAF = 16, 1 << 16
+#: Bytes up to which a match is merged directly, and a window without a queue; code points up to which a text is one leaf.
+LEAF, LONG, TEXT_LEAF = 16, 256, 1 << 16
 _BREAK = regex.compile(r"(?<=\S)(?=\s)")
 #: A space inside a run of white space, or at the end of one that ends the text: no match need begin there.
 _RUN = re.compile(r"\s (?:\s|\Z)")
@@ -51,6 +52,8 @@ class Codec:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
+        if len(data) > LONG:
+            return self._merge_long(data)
         parts = [data[k : k + 1] for k in range(len(data))]
         ranks = self.ranks
         none = len(ranks) + 1
@@ -68,6 +71,30 @@ class Codec:
                 pairs[k - 1] = ranks.get(parts[k - 1] + parts[k], none)
         return [ranks[p] for p in parts]
 
+    def _merge_long(self, data: bytes) -> list[int]:
+        """The same with a queue of pairs by (rank, place), for windows that had to grow."""
+        n, ranks = len(data), self.ranks
+        end, before = list(range(1, n + 1)), list(range(-1, n))  # where the part at a place ends; where the part before it begins
+        queue = [(r, k, k + 2) for k in range(n - 1) if (r := ranks.get(data[k : k + 2])) is not None]
+        heapq.heapify(queue)
+        while queue:
+            _, k, stop = heapq.heappop(queue)
+            middle = end[k]
+            if not middle or middle == n or end[middle] != stop:
+                continue  # one of the two is gone or longer
+            end[k], end[middle] = stop, 0
+            if stop < n:
+                before[stop] = k
+                if (r := ranks.get(data[k : end[stop]])) is not None:
+                    heapq.heappush(queue, (r, k, end[stop]))
+            if (j := before[k]) >= 0 and (r := ranks.get(data[j:stop])) is not None:
+                heapq.heappush(queue, (r, j, stop))
+        out, k = [], 0
+        while k < n:
+            out.append(ranks[data[k : end[k]]])
+            k = end[k]
+        return out
+
     def bytes_of(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -81,16 +108,16 @@ class Codec:
             return a or b
         low, high = 1, 1
         while True:
-            window = self.encode_match(self.bytes_of(a[-low:] + b[:high]), split=False)
+            window = self.merge(self.bytes_of(a[-low:] + b[:high]))
             grow_low = low < len(a) and not self.stable(a[-low - 1], window[0])
             grow_high = high < len(b) and not self.stable(window[-1], b[high])
             if not grow_low and not grow_high:
                 return a[: len(a) - low] + window + b[high:]
             low, high = min(len(a), low + grow_low * low), min(len(b), high + grow_high * high)
 
-    def encode_match(self, data: bytes, split: bool = True) -> list[int]:
+    def encode_match(self, data: bytes) -> list[int]:
         """The ids of one match: leaves merged directly, halves joined."""
-        if len(data) <= LEAF or not split and len(data) <= 4 * LEAF or data in self.ranks:
+        if len(data) <= LEAF or data in self.ranks:
             return self.merge(data)
         middle = len(data) // 2
         return self.join(self.encode_match(data[:middle]), self.encode_match(data[middle:]))

@@ -254,7 +254,9 @@ def test_bpe_equals_the_library(spark):
     r = random.Random(1)
     parts = ["a", "ab", "the ", "é", "漢", "😀", " ", "\n", "  ", "1", "!!", "'s", "<|endoftext|>", "x" * 50, "=" * 70]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 200))) for _ in range(100)] + ["a" * 5000, "=-" * 2000, " " * 3000, "hello  \n world  " * 9000]
-    for t in texts:
+    for data in (b"a" * 700, b"=-" * 400, bytes(r.randrange(97, 100) for _ in range(900)), bytes(r.randrange(256) for _ in range(900))):
+        assert own.merge(data) == own.encode_match(data) == library._core_bpe.encode_single_piece(data)
+    for t in [*texts, "ab" * 100_000, "x" * 100_001]:
         ids = own.encode(t)
         assert ids == library.encode_ordinary(t) and own.decode(ids) == t.encode()
     row = bpe.round_trip(_docs(spark, [(1, None)]), path, public_tokenizers.PATTERN).first()
