@@ -1,14 +1,16 @@
 """Homomorphic document fingerprints, with DataFrame functions only.
 
 A document is the multiset of its paragraphs (its text cut at line feeds). Each
-paragraph hashes to a vector of 81 lanes and a fingerprint is the sum of the
+paragraph hashes to a vector of 536 lanes and a fingerprint is the sum of the
 vectors modulo 2**32:
 
 * 16 lanes from SHA-512 of the paragraph: equality that does not depend on the
   order of paragraphs;
-* 64 counters and a count: how many of the paragraph's phrases have each bit of
-  their 64-bit hash set. From them ``likeness`` estimates the cosine of the
-  phrase multisets.
+* 8 groups of 64 counters and a count: a phrase falls into one group by its
+  hash, and counts there for each bit set in a second 64-bit hash. From them
+  ``likeness`` estimates the cosine of the phrase multisets: within a group a
+  bit is a random sign, so a group's product of signed sums estimates its part
+  of the dot product, with an error of about 1 / sqrt(512) of the norms.
 
 Sums modulo a power of two form a group, so inserting or deleting paragraphs is
 adding or subtracting their fingerprints, without reading the rest.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from keelson.llm import common
 
-LANES, COUNTERS = 16, 64
+LANES, GROUPS, COUNTERS = 16, 8, 64
 MASK = (1 << 32) - 1
 #: Phrases end at white space after one of these: places that depend on the text around only.
 PHRASE_END = r"(?<=[\p{P}\p{S}aest])[^\S\n]+"
@@ -35,7 +37,7 @@ def _bind(value: Column, body) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """array<bigint> of 16 hash lanes, 64 counters and the number of phrases. Null is the empty text."""
+    """array<bigint> of 16 hash lanes, then per group 64 counters and the number of phrases. Null is the empty text."""
     text = F.coalesce(text, F.lit(""))
     zero = F.lit(0).cast("long")
     lanes = F.aggregate(
@@ -61,7 +63,13 @@ def fingerprint(text: Column) -> Column:
         )
         return F.concat(sums, F.array(F.size(all_of).cast("long")))
 
-    return F.concat(lanes, _bind(hashes, counted))
+    def grouped(all_of: Column) -> Column:
+        own = lambda g: F.filter(all_of, lambda h: F.shiftrightunsigned(h, 61) == g)  # noqa: E731  a hash's first three bits
+        empty = F.array_repeat(zero, COUNTERS + 1)
+        signs = lambda hs: F.when(F.size(hs) == 0, empty).otherwise(_bind(F.transform(hs, lambda h: F.xxhash64(h)), counted))
+        return F.flatten(F.transform(F.sequence(zero, F.lit(GROUPS - 1).cast("long")), lambda g: _bind(own(g), signs)))
+
+    return F.concat(lanes, _bind(hashes, grouped))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -70,27 +78,31 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
 
 
 def text_form(fp: Column) -> Column:
-    """Lowercase hex, eight digits a lane."""
-    return F.lower(F.array_join(F.transform(fp, lambda v: F.lpad(F.hex(v), 8, "0")), ""))
+    """The hash lanes as lowercase hex, eight digits each: equal for equal multisets of paragraphs, which fix the counters too."""
+    return F.lower(F.array_join(F.transform(F.slice(fp, 1, LANES), lambda v: F.lpad(F.hex(v), 8, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """From 0 to 1: 1 for equal fingerprints, else the estimated cosine of the phrase counts, not below 0."""
 
     def cosine(p: Column) -> Column:
-        def signed(fp: Column) -> Column:  # per bit, how many more phrases have it set than not
-            return _bind(F.element_at(fp, -1), lambda n: F.transform(F.slice(fp, LANES + 1, COUNTERS), lambda c: (2 * c - n).cast("double")))
+        def signed(fp: Column) -> Column:  # per group and bit, how many more phrases have it set than not
+            group = lambda g: F.slice(fp, LANES + 1 + g * (COUNTERS + 1), COUNTERS)
+            count = lambda g: F.element_at(fp, LANES + (g + 1) * (COUNTERS + 1))
+            parts = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: _bind(count(g), lambda n: F.transform(group(g), lambda c: (2 * c - n).cast("double"))))
+            return F.flatten(parts)
 
         def of(q: Column) -> Column:
-            total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, e: s + e)
-            dot = total(F.zip_with(q["x"], q["y"], lambda u, v: u * v))
-            norms = total(F.transform(q["x"], lambda u: u * u)) * total(F.transform(q["y"], lambda u: u * u))
-            return F.when(norms > 0, dot / F.sqrt(norms)).otherwise(0.0)
+            three = F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+            add = lambda s, e: F.struct((s["dot"] + e["x"] * e["y"]).alias("dot"), (s["x"] + e["x"] * e["x"]).alias("x"), (s["y"] + e["y"] * e["y"]).alias("y"))
+            end = lambda s: F.when(s["x"] * s["y"] > 0, s["dot"] / F.sqrt(s["x"] * s["y"])).otherwise(0.0)
+            return F.aggregate(F.arrays_zip(q["x"], q["y"]), three, add, end)
 
         return _bind(F.struct(signed(p["a"]).alias("x"), signed(p["b"]).alias("y")), of)
 
+    same = F.slice(a, 1, LANES) == F.slice(b, 1, LANES)
     found = _bind(F.struct(a.alias("a"), b.alias("b")), cosine)
-    return F.when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), found)))
+    return F.when(same, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), found)))
 
 
 def _range_of(key: Column, bounds: list[int], low: int = 0, high: int | None = None) -> Column:
@@ -102,13 +114,14 @@ def _range_of(key: Column, bounds: list[int], low: int = 0, high: int | None = N
     return F.when(key < bounds[middle], _range_of(key, bounds, low, middle)).otherwise(_range_of(key, bounds, middle + 1, high))
 
 
-def with_next(rows: DataFrame, key: str, columns: list[str], most: int = 2000) -> DataFrame:
-    """``rows`` with next_<column> from the following row by key, then text; after the last comes the first.
+def with_next(rows: DataFrame, key: str, derived: dict[str, Column], most: int = 2000) -> DataFrame:
+    """``rows`` with the derived columns and next_<column> for text and these, from the following row by key, then text; after the last comes the first.
 
     Rows are dealt by ranges of the key (quantiles, four for each shuffle
     partition and ``most`` at most). Each range also gets a copy of the rows
     that begin the next one, so a window inside each range is enough and no
-    task sees the whole order. Null keys come first.
+    task sees the whole order. Derived columns are made once a row, after the
+    rows are dealt and sorted. Null keys come first.
     """
     spark = rows.sparkSession
     parts = min(most, 4 * common.partitions(spark))
@@ -123,8 +136,9 @@ def with_next(rows: DataFrame, key: str, columns: list[str], most: int = 2000) -
     there = F.struct(F.col("_before").alias("p"), F.lit(1).alias("copy"))
     spread = keyed.join(F.broadcast(table), "_k", "left").withColumn("_to", F.explode(F.when(F.col("_before").isNull(), F.array(here)).otherwise(F.array(here, there))))
     spread = spread.select(*rows.columns, "_k", F.col("_to.p").alias("_p"), F.col("_to.copy").alias("_copy"))
+    spread = spread.repartition("_p").sortWithinPartitions("_p", "_copy", "_k", "text").withColumns(derived)
     order = Window.partitionBy("_p").orderBy("_copy", "_k", "text")
-    return spread.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("_copy = 0").drop("_k", "_p", "_copy")
+    return spread.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in ("text", *derived)]).where("_copy = 0").drop("_k", "_p", "_copy")
 
 
 def edited_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,8 +155,7 @@ def edited_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own next one. Other columns, of any name, are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), common.text_or_empty(text_col).alias("text"))
-    rows = rows.withColumn("fp", fingerprint(F.col("text")))
-    both = with_next(rows, "id", ["text", "fp"])
+    both = with_next(rows, "id", {"fp": fingerprint(F.col("text"))})
     n = F.length("text")
     kept = n - F.floor(n / 4).cast("int")
     both = both.withColumn("n", n).withColumn("head", F.substring(F.col("text"), F.lit(1), kept))

@@ -196,6 +196,24 @@ def test_fingerprints(spark):
     assert fingerprint.edited_documents(_docs(spark, [])).count() == 0
 
 
+def test_likeness_follows_the_true_cosine(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) > 400").orderBy("doc_id")
+    texts = [r.text for r in docs.select("text").collect()]
+    phrase = re.compile(r"\n|(?<=[\W_aest])[^\S\n]+")
+    r, pairs, true = random.Random(8), [], []
+    for k, t in enumerate(texts):
+        cut = len(t) * r.randint(0, 3) // 4
+        pairs.append((k, t, t[:cut] + texts[(k + 1) % len(texts)][cut:]))
+        a, b = (Counter(phrase.split(x)) for x in pairs[-1][1:])
+        dot = sum(n * b[w] for w, n in a.items())
+        true.append(dot / (sum(n * n for n in a.values()) * sum(n * n for n in b.values())) ** 0.5)
+    fp = lambda c: fingerprint.fingerprint(F.col(c))
+    table = spark.createDataFrame(pairs, "k int, a string, b string").repartition(4)
+    got = {x.k: x.l for x in table.select("k", fingerprint.likeness(fp("a"), fp("b")).alias("l")).collect()}
+    off = [abs(got[k] - t) for k, t in enumerate(true)]
+    assert max(off) < 0.2 and sum(off) / len(off) < 0.05
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "u", "a" * 100000), (2, "u2", "a" * 100000), (3, None, None), (4, "x", ""), (5, "é", "é😀" * 9000), (6, "z\r\nX: y", "0\r\n\r\n"), (7, "k", "y" * 50000), (7, "k", "y" * 50000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
