@@ -2,14 +2,27 @@
 
 Each pass sorts all vectors lexicographically by the concatenated sign bits of
 random projections and compares every vector with its ``window`` followers;
-near vectors share long prefixes and meet in some pass. Pairs with a cosine at
-or above the threshold, in double precision, are links; links of all passes
-are united to components. Equal vectors are one class from the start, so
-copies by the thousand are one row in the passes.
-
-All passes are one range sort by (dimension, pass, bits). Each task compares inside its
-range and sends its first and last rows on, over as many ranges as the window
-reaches, so that ranges are also compared across their borders.
+near vectors share long prefixes and meet in some pass. Equal vectors are one
+class from the start, so copies by the thousand are one row in the passes.
+
+Passes carry ids, components and a signature of ``SIGNS`` further sign bits,
+no vectors. Vectors near enough differ in few signature bits; the bound is six
+standard deviations above what vectors at the threshold differ in, so no more
+than some 1e-9 of those are lost. What is within the bound and of different
+components is fetched and verified in double precision; verified pairs are
+united to components before the next round of passes. The first rounds verify a
+vector's nearest and next candidate of a pass only, which joins most of a large
+group; the last round, with most of the passes, verifies every candidate pair of
+different components.
+
+A round is one range sort by (dimension, pass, bits). Each task compares inside
+its range and sends its first and last rows on, over as many ranges as the
+window reaches, so that ranges are also compared across their borders.
+
+How many passes there are follows from the number of classes: two vectors at the
+threshold meet in one pass with a probability of about
+``(1 - angle / pi) ** log2(rows / window)``, and there are enough passes for
+all but ``miss`` of such pairs.
 
 The passes decide the components only. Within each component all vectors are
 then compared, in pairs of blocks of about ``BLOCK`` vectors, so the links of a
@@ -18,6 +31,7 @@ large group are whole however small the window is.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +41,26 @@ from pyspark.sql import functions as F
 
 from keelson.llm import common
 
-BITS = 62
+BITS, SIGNS = 62, 256
 BLOCK = 2048
+#: Shares of the passes by round; the last round gets the rest.
+ROUNDS = (0.1, 0.25)
+
+
+def planes(dim: int, columns: int, seed: int) -> np.ndarray:
+    return np.random.default_rng((seed, dim, columns)).normal(size=(dim, columns))
 
 
-def planes(dim: int, passes: int, seed: int) -> np.ndarray:
-    return np.random.default_rng((seed, dim)).normal(size=(dim, passes * BITS))
+def passes_for(rows: int, window: int, least: float, miss: float) -> int:
+    """How many passes find all but ``miss`` of the pairs at the threshold."""
+    meet = (1 - math.acos(least) / math.pi) ** max(0.0, math.log2(max(rows, 1) / window))
+    return max(4, math.ceil(math.log(miss) / math.log(max(1 - meet, 1e-300))))
+
+
+def most_different(least: float) -> int:
+    """In how many signature bits vectors near enough differ at most."""
+    p = math.acos(least) / math.pi
+    return math.ceil(SIGNS * p + 6 * math.sqrt(SIGNS * p * (1 - p)))
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,50 +79,65 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["id", "unit"])
 
 
-def _keys(passes: int, seed: int):
+def _keys(first: int, passes: int, seed: int):
+    """Rows (id, comp, unit) to a row for each of some passes: its bits, and the signature."""
     weights = (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
+        made: dict[int, tuple[list[np.ndarray], np.ndarray]] = {}
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
-                ids, units = part.column(0).to_numpy(), part.column(1).to_pylist()
+                ids, comp, units = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_pylist()
                 sizes = np.array([len(u) // 8 for u in units])
                 for dim in np.unique(sizes).tolist():
                     own = np.flatnonzero(sizes == dim)
                     x = np.frombuffer(b"".join(units[k] for k in own)).reshape(-1, dim)
                     if dim not in made:
-                        made[dim] = planes(dim, passes, seed)
-                    bits = (x @ made[dim] > 0).reshape(len(own), passes, BITS) @ weights
-                    data = pa.array([units[k] for k in own], pa.binary())
-                    for p in range(passes):
-                        n = len(own)
-                        yield pa.record_batch([pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, p, np.int32)), pa.array(bits[:, p]), pa.array(ids[own]), data], names=["dim", "pass", "bits", "id", "unit"])
+                        made[dim] = [planes(dim, BITS, seed + 1 + p) for p in range(first, first + passes)], planes(dim, SIGNS, seed)
+                    turns, signs = made[dim]
+                    n = len(own)
+                    marks = pa.array([m.tobytes() for m in np.packbits(x @ signs > 0, axis=1)], pa.binary())
+                    for p, turn in enumerate(turns):
+                        bits = (x @ turn > 0) @ weights
+                        yield pa.record_batch([pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, first + p, np.int32)), pa.array(bits), pa.array(ids[own]), pa.array(comp[own]), marks], names=["dim", "pass", "bits", "id", "comp", "signs"])
+
+    return run, "dim int, pass int, bits long, id long, comp long, signs binary"
 
-    return run, "dim int, pass int, bits long, id long, unit binary"
 
+def near_pairs(ids: np.ndarray, comp: np.ndarray, signs: np.ndarray, window: int, differ: int, few: bool, new_from: int = 0) -> np.ndarray:
+    """Candidates (smaller id, larger id) among rows at most ``window`` apart, the later at ``new_from`` or after, of different components.
 
-def near_pairs(ids: np.ndarray, x: np.ndarray, window: int, least: float, new_from: int = 0) -> np.ndarray:
-    """Pairs (smaller id, larger id) of rows at most ``window`` apart, the later at ``new_from`` or after."""
+    With ``few`` only two for each earlier row: the one that follows next and the one with the fewest bits that differ.
+    """
     found = []
-    for s in range(max(0, new_from - window), len(x), 256):
-        rows = x[s : s + 256]
-        near = rows @ x[s : s + 256 + window].T >= least
-        i, j = np.nonzero(near)
-        ok = (j > i) & (j - i <= window) & (s + j >= new_from)
-        a, b = ids[s + i[ok]], ids[s + j[ok]]
+    for s in range(max(0, new_from - window), len(ids), 256):
+        e, end = min(s + 256, len(ids)), min(s + 256 + window, len(ids))
+        apart = np.bitwise_count(signs[s:e, None, :] ^ signs[None, s:end, :]).sum(axis=2, dtype=np.int32)
+        place = np.arange(end - s)[None, :] - np.arange(e - s)[:, None]
+        ok = (place > 0) & (place <= window) & (apart <= differ) & (comp[s:e, None] != comp[None, s:end]) & (s + np.arange(end - s) >= new_from)[None, :]
+        if few:
+            some = np.flatnonzero(ok.any(axis=1))
+            i = np.r_[some, some]
+            j = np.r_[ok[some].argmax(axis=1), np.where(ok[some], apart[some], SIGNS + 1).argmin(axis=1)]
+        else:
+            i, j = np.nonzero(ok)
+        a, b = ids[s + i], ids[s + j]
         found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
     out = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-    return out[:, out[0] != out[1]]
+    return np.unique(out, axis=1)
+
+
+def _matrix(signs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signs), np.uint64).reshape(-1, SIGNS // 64)
 
 
-_SWEPT = "a long, b long, task int, side int, place int, dim int, pass int, id long, unit binary"
+_SWEPT = "a long, b long, task int, side int, place int, dim int, pass int, id long, comp long, signs binary"
 
 
-def _sweep(window: int, least: float):
-    names = ["a", "b", "task", "side", "place", "dim", "pass", "id", "unit"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+def _sweep(window: int, differ: int, few: bool):
+    names = ["a", "b", "task", "side", "place", "dim", "pass", "id", "comp", "signs"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def pairs(found: np.ndarray) -> pa.RecordBatch:
         n = found.shape[1]
@@ -102,8 +145,7 @@ def _sweep(window: int, least: float):
 
     def ends(task: int, side: int, rows: list[tuple]) -> pa.RecordBatch:
         n = len(rows)
-        dim, p, ids, units = zip(*rows, strict=True)
-        cols = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), [task] * n, [side] * n, list(range(n)), dim, p, ids, units]
+        cols = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), [task] * n, [side] * n, list(range(n)), *zip(*rows, strict=True)]
         return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,25 +153,24 @@ def _sweep(window: int, least: float):
 
         task = TaskContext.get().partitionId()
         head: list[tuple] = []
-        key, ids, x, last = None, np.zeros(0, np.int64), None, []
+        key, ids, comp, x, last = None, np.zeros(0, np.int64), np.zeros(0, np.int64), _matrix([]), []
         for batch in batches:
             for s in range(0, batch.num_rows, 2048):
                 part = batch.slice(s, 2048)
                 dims, turn = part.column(0).to_numpy(), part.column(1).to_numpy()
-                now, units = part.column(3).to_numpy(), part.column(4).to_pylist()
+                now, own_comp, signs = part.column(3).to_numpy(), part.column(4).to_numpy(), part.column(5).to_pylist()
                 cuts = np.flatnonzero(np.r_[True, (dims[1:] != dims[:-1]) | (turn[1:] != turn[:-1])]).tolist()
                 for a, b in zip(cuts, [*cuts[1:], len(now)], strict=True):
                     own = (int(dims[a]), int(turn[a]))
-                    more = np.frombuffer(b"".join(units[a:b])).reshape(b - a, own[0])
                     if own != key:
-                        key, ids, x, last = own, np.zeros(0, np.int64), np.zeros((0, own[0])), []
+                        key, ids, comp, x, last = own, ids[:0], comp[:0], x[:0], []
                     old = len(ids)
-                    ids, x = np.concatenate([ids, now[a:b]]), np.concatenate([x, more])
-                    found = near_pairs(ids, x, window, least, old)
+                    ids, comp, x = np.r_[ids, now[a:b]], np.r_[comp, own_comp[a:b]], np.concatenate([x, _matrix(signs[a:b])])
+                    found = near_pairs(ids, comp, x, window, differ, few, old)
                     if found.shape[1]:
-                        yield pairs(np.unique(found, axis=1))
-                    ids, x = ids[-window:], x[-window:]
-                    rows = [(*own, int(i), u) for i, u in zip(now[a:b], units[a:b], strict=True)]
+                        yield pairs(found)
+                    ids, comp, x = ids[-window:], comp[-window:], x[-window:]
+                    rows = [(*own, int(i), int(c), u) for i, c, u in zip(now[a:b], own_comp[a:b], signs[a:b], strict=True)]
                     head += rows[: max(0, window - len(head))]
                     last = [*last, *rows][-window:]
         if head:
@@ -139,8 +180,8 @@ def _sweep(window: int, least: float):
     return run, _SWEPT
 
 
-def _borders(window: int, least: float):
-    """Rows (border, side, place, dim, pass, id, unit) of both sides of borders, sorted, to pairs across them."""
+def _borders(window: int, differ: int, few: bool):
+    """Rows (border, side, place, dim, pass, id, comp, signs) of both sides of borders, sorted, to pairs across them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
@@ -150,27 +191,69 @@ def _borders(window: int, least: float):
             before, after = ([r for r in rows if r[0] == s] for s in (0, 1))
             for turn in {r[1] for r in before} & {r[1] for r in after}:
                 a, b = ([r for r in side if r[1] == turn] for side in (before, after))
-                ids = np.array([r[2] for r in [*a, *b]])
-                x = np.frombuffer(b"".join(r[3] for r in [*a, *b])).reshape(len(ids), turn[0])
-                found.append(near_pairs(ids, x, window, least, len(a)))
+                ids, comp = (np.array([r[k] for r in [*a, *b]]) for k in (2, 3))
+                found.append(near_pairs(ids, comp, _matrix([r[4] for r in [*a, *b]]), window, differ, few, len(a)))
             return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
 
-        for batch in [*batches, None]:
+        for batch in batches:
             found = []
-            for r in batch.to_pylist() if batch is not None else [{"border": None}]:
+            for r in batch.to_pylist():
                 if r["border"] != key and rows:
                     found.append(settle())
                     rows = []
                 key = r["border"]
-                if key is not None:
-                    rows.append((r["side"], (r["dim"], r["pass"]), r["id"], r["unit"]))
+                rows.append((r["side"], (r["dim"], r["pass"]), r["id"], r["comp"], r["signs"]))
             if found:
                 pairs = np.concatenate(found, axis=1)
                 yield pa.record_batch([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+        if rows:
+            pairs = settle()
+            yield pa.record_batch([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
 
     return run, "a long, b long"
 
 
+def _dots(least: float):
+    """(a, b, x, y), pairs with both unit vectors, to those near enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(k).to_pylist() for k in (2, 3))
+            near = [float(np.frombuffer(p) @ np.frombuffer(q)) >= least for p, q in zip(x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return run, "a long, b long"
+
+
+def _round(classes: DataFrame, near: DataFrame | None, first: int, passes: int, few: bool, least: float, window: int, seed: int) -> DataFrame:
+    """The verified links (a, b) of some passes between different components."""
+    spark = classes.sparkSession
+    parts, differ = common.partitions(spark), most_different(least)
+    own = classes.select(F.col("rep").alias("id"), F.col("rep").alias("comp"), "unit")
+    if near is not None:
+        own = own.drop("comp").join(near, own.id == near.node, "left").select("id", F.coalesce("component", "id").alias("comp"), "unit")
+    run, schema = _keys(first, passes, seed)
+    keyed = own.mapInArrow(run, schema)
+    ordered = keyed.repartitionByRange(parts, "dim", "pass", "bits", "id").sortWithinPartitions("dim", "pass", "bits", "id")
+    run, schema = _sweep(window, differ, few)
+    swept = common.saved(ordered.mapInArrow(run, schema), "swept")
+    inside = swept.where("a is not null").select("a", "b")
+    edge = swept.where("a is null").drop("a", "b")
+    ends = edge.groupBy("task", "side").agg(F.count("*"), F.min(F.struct("dim", "pass")), F.max(F.struct("dim", "pass"))).collect()  # two rows a range
+    reached = _reached(sorted(tuple(r) for r in ends), window)
+    if any(side == 0 for _, side, _ in reached):
+        borders = F.broadcast(spark.createDataFrame(reached, "task int, side int, border int"))
+        edge = edge.join(borders, ["task", "side"]).select("border", (1 - F.col("side")).alias("side"), "place", "dim", "pass", "id", "comp", "signs", "task")
+        run, schema = _borders(window, differ, few)
+        across = edge.repartition(parts, "border").sortWithinPartitions("border", "side", "task", "place").drop("task").mapInArrow(run, schema)
+        inside = inside.union(across)
+    x, y = (classes.select(F.col("rep").alias(k), F.col("unit").alias(u)) for k, u in (("a", "x"), ("b", "y")))
+    run, schema = _dots(least)
+    links = common.saved(inside.distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, schema), "links")
+    common.release(swept)
+    return links
+
+
 def _block_degrees(least: float):
     """Rows (component, i, j, side, id, m, unit), sorted by the first four, to (id, linked): the rows m linked to id in blocks i and j."""
 
@@ -235,7 +318,7 @@ def _reached(ends: list, window: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, passes: int = 24, window: int = 128, seed: int = 11) -> DataFrame:
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, passes: int | None = None, window: int = 128, seed: int = 11, miss: float = 1e-4) -> DataFrame:
     """(id, n_links, component_id, kept) of every vector.
 
     ``n_links`` counts the other vectors of its component that are near enough
@@ -243,35 +326,26 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     null, empty, zero or hold null or non-finite components link with nothing,
     as do rows with a null id. Vectors of different dimension are not
     compared. Repeated rows count as vectors of their own. Other columns, of any name, are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result. ``passes`` overrides the
+    number that follows from ``miss`` and the number of rows.
     """
-    spark = rows.sparkSession
     plain = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     units = plain.mapInArrow(_units, "id long, unit binary").withColumn("mark", F.sha2("unit", 256))
-    units = common.saved(units, "units")
     valid = units.where("unit is not null and id is not null")
     classes = common.saved(valid.groupBy("mark").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.any_value("unit").alias("unit")), "classes")
-    run, schema = _keys(passes, seed)
-    keyed = common.saved(classes.select("rep", "unit").mapInArrow(run, schema), "keys")
-    parts = common.partitions(spark)
-    ordered = keyed.repartitionByRange(parts, "dim", "pass", "bits", "id").sortWithinPartitions("dim", "pass", "bits", "id")
-    run, schema = _sweep(window, least)
-    swept = common.saved(ordered.mapInArrow(run, schema), "swept")
-    inside = swept.where("a is not null").select("a", "b")
-    edge = swept.where("a is null").drop("a", "b")
-    ends = edge.groupBy("task", "side").agg(F.count("*"), F.min(F.struct("dim", "pass")), F.max(F.struct("dim", "pass"))).collect()  # two rows a range
-    reached = _reached(sorted(tuple(r) for r in ends), window)
-    if any(side == 0 for _, side, _ in reached):
-        borders = F.broadcast(spark.createDataFrame(reached, "task int, side int, border int"))
-        edge = edge.join(borders, ["task", "side"]).select("border", (1 - F.col("side")).alias("side"), "place", "dim", "pass", "id", "unit", "task")
-        run, schema = _borders(window, least)
-        across = edge.repartition(parts, "border").sortWithinPartitions("border", "side", "task", "place").drop("task").mapInArrow(run, schema)
-        inside = inside.union(across)
-    links = common.saved(inside.distinct(), "links")
+    total = passes or passes_for(classes.count(), window, least, miss)
+    cuts = [0, *(math.ceil(sum(ROUNDS[: k + 1]) * total) for k in range(len(ROUNDS))), total]
+    near = None
+    for k, (first, last) in enumerate(zip(cuts, cuts[1:])):
+        if first == last:
+            continue
+        links = _round(classes, near, first, last - first, k < len(ROUNDS), least, window, seed)
+        if near is not None:
+            links = links.union(near.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        near = common.saved(common.components(links), "components")
     size = classes.select("rep", "m")
-    parts_of = common.saved(common.components(links), "components")
-    degree = _degrees(classes, parts_of, least).withColumnRenamed("id", "a")
-    found = size.join(degree, size.rep == degree.a, "left").join(parts_of, size.rep == parts_of.node, "left")
+    degree = _degrees(classes, near, least).withColumnRenamed("id", "a")
+    found = size.join(degree, size.rep == degree.a, "left").join(near, size.rep == near.node, "left")
     found = found.select("rep", (F.col("m") - 1 + F.coalesce("linked", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
     marks = classes.select("mark", "rep").join(found, "rep").select(F.col("mark").alias("of"), "n", "component")
     key = F.when(F.col("id").isNotNull(), F.col("mark"))
