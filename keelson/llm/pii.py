@@ -141,25 +141,30 @@ def _known(docs: DataFrame) -> tuple[DataFrame, int]:
     return counts.groupBy("term").agg(F.sum(F.when(F.col("repeated").isNull(), F.col("n")).otherwise(1)).alias("n_t")), apart.count()
 
 
+def _searched(docs: DataFrame, id_col: str, text_col: str, disclosure: float, smooth: float) -> DataFrame:
+    """(own struct of all columns, base, spans) of every row."""
+    rows = docs.select(F.struct(*docs.columns).alias("own"), F.col(id_col).alias("id"), common.text_or_empty(text_col).alias("text"))
+    rows = rows.withColumn("found", base_spans(F.col("text"))).withColumn("row", F.xxhash64("id", "text"))
+    terms, _ = disclosures(rows.select("row", F.xxhash64("text").alias("copy"), "text", F.col("found").alias("spans")), disclosure, smooth)
+    joined = rows.join(terms, "row", "left")
+    slim = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    base = slim(F.col("found"))
+    more = F.transform(matches(F.col("text"), _whole_words(F.col("words"))), lambda m: F.struct(F.lit(4).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+    apart = F.filter(more, lambda t: ~F.exists(F.col("found"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    spans = F.when(F.col("words").isNull(), base).otherwise(F.concat(base, apart))
+    return joined.select("own", F.col("found").alias("base"), spans.alias("spans"))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.9, smooth: float = 0.5) -> DataFrame:
     """``docs`` with base array<struct<kind, start, end, value>> and spans (base spans and terms, kind 4).
 
     Every row is searched by its whole text; a null text counts as empty and
     has no spans. Repeated rows give repeated results; equal texts are one
-    observation. Other columns stay as they are, of any name but base, spans and
-    those beginning with an underscore. An empty table gives an empty result.
+    observation. Other columns stay as they are, of any name; base and spans of
+    the input give way to the new ones. An empty table gives an empty result.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("_own"), F.col(id_col).alias("_id"), common.text_or_empty(text_col).alias("_text"))
-    rows = rows.withColumn("_spans", base_spans(F.col("_text"))).withColumn("_row", F.xxhash64("_id", "_text"))
-    plain = rows.select(F.col("_row").alias("row"), F.xxhash64("_text").alias("copy"), F.col("_text").alias("text"), F.col("_spans").alias("spans"))
-    terms, _ = disclosures(plain, disclosure, smooth)
-    joined = rows.join(terms.select("row", F.col("words").alias("_words")), rows._row == terms.row, "left")
-    slim = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    base = slim(F.col("_spans"))
-    more = F.transform(matches(F.col("_text"), _whole_words(F.col("_words"))), lambda m: F.struct(F.lit(4).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
-    apart = F.filter(more, lambda t: ~F.exists(F.col("_spans"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    spans = F.when(F.col("_words").isNull(), base).otherwise(F.concat(base, apart))
-    return joined.select("_own.*", F.col("_spans").alias("base"), spans.alias("spans"))
+    found = _searched(docs, id_col, text_col, disclosure, smooth)
+    return found.select(*[F.col("own")[c].alias(c) for c in docs.columns if c not in ("base", "spans")], "base", "spans")
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -185,6 +190,7 @@ def redact(text: Column, spans: Column) -> Column:
 
 
 def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.9, smooth: float = 0.5) -> DataFrame:
-    """``docs`` with the spans in its texts generalised; all other columns and rows stay."""
-    found = find(docs, id_col, text_col, disclosure, smooth)
-    return found.select(*[redact(F.col(c), F.col("spans")).alias(c) if c == text_col else c for c in docs.columns])
+    """``docs`` with the spans in its texts generalised; all other columns, of any name, and rows stay."""
+    found = _searched(docs, id_col, text_col, disclosure, smooth)
+    own = F.col("own")
+    return found.select(*[redact(own[c], F.col("spans")).alias(c) if c == text_col else own[c].alias(c) for c in docs.columns])

@@ -417,6 +417,16 @@ def test_pii_scores_entities_of_one_document(spark):
     assert clean[0] == rows[0][1]
 
 
+def test_pii_with_clashing_names_and_long_texts(spark):
+    text = "lorem ipsum " * 90_000 + "a@b.cc"
+    names = "doc_id long, text string, base string, spans int, row int, own string, words string, found string, copy int, _own int"
+    table = spark.createDataFrame([(1, text, "b", 5, 6, "o", "w", "f", 7, 8)], names)
+    row = pii.find(table).first()
+    assert [(x.kind, x.start, x.end) for x in row.base] == [(0, len(text) - 6, len(text))] and (row.row, row.own, row.words, row.found) == (6, "o", "w", "f")
+    clean = pii.sanitize(table).first()
+    assert clean.text == text[:-6] + "[EMAIL]" and (clean.base, clean.spans) == ("b", 5)
+
+
 def test_pii_masks_revealing_terms_in_the_whole_document(spark):
     rows = [(i, f"some words of text {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}") for i in range(300)]
     rows += [(1000, "Ackbar says\n" + "some words of text " * 9 + "x@y.org\n12ackbar ACKBAR, ackbars some ackbar@q.de")]
