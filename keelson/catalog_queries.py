@@ -654,18 +654,32 @@ def deletion_vector_decode(spark: SparkSession, sf: str) -> DataFrame:
     return deletion_vectors.positions(wanted.mapInPandas(run, "path string, blob binary"))
 
 
-@_register()
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp()
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@_register("""WITH rows AS (SELECT o_orderkey, o_custkey, 0 AS batch FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN -o_custkey ELSE o_custkey END, 1 FROM orders WHERE o_orderstatus <> 'O')
+SELECT CAST(2 AS BIGINT) AS constraint_id, 'INT-003' AS code, count(*) AS violation_count, 'violation' AS kind, CAST(1 AS BIGINT) AS batch FROM (SELECT 1 FROM rows WHERE batch = 1 AND o_orderkey IN (SELECT o_orderkey FROM rows WHERE batch = 0))
+UNION ALL SELECT CAST(4 AS BIGINT), 'INT-005', count(DISTINCT o_custkey), 'violation', CAST(1 AS BIGINT) FROM rows WHERE batch = 1 AND o_custkey NOT IN (SELECT c_custkey FROM customer)""")
 def stream_commits(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations as change files, two commits: the second repeats keys of the first."""
-    base = f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
-    nations = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
-    schema = "k long, op int"
-    for name, rows in (("a", nations.where("k < 20")), ("b", nations.where("k >= 18"))):
-        rows.withColumn("op", F.lit(1)).coalesce(1).write.mode("append").parquet(f"{base}/in/{name}")
-    store = IndexStore(spark, f"{base}/index")
-    store.apply({"unique": nations.limit(0)}, 1)
-    registry = Registry({"t": {"k": "bigint"}})
-    registry.register(Constraint(1, PK, "t", ("k",)))
+    """Orders as change files, two commits: the second repeats keys of the first and has orders of unknown customers."""
+    base = scratch(spark, "stream")
+    orders = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderpriority").alias("p"), F.lit(1).alias("op"))
+    urgent = F.when(F.col("p") == "1-URGENT", -F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    for name, rows in (("a", orders.where("o_orderstatus <> 'P'")), ("b", orders.where("o_orderstatus <> 'O'").withColumn("o_custkey", urgent))):
+        rows.drop("p").coalesce(1).write.mode("append").parquet(f"{base}/in/{name}")
+    store, registry = IndexStore(spark, f"{base}/index"), _registry(PK_CUSTOMER, PK_ORDERS, FK_CUSTOMER)
+    commits.install(store, registry, {"customer": _t(spark, sf, "customer"), "orders": _t(spark, sf, "orders").limit(0)})
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, op int"
     changes = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/in")
-    commits.validate_stream(spark, changes, registry, "t", 1, store, f"{base}/out", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/out")
+    commits.validate_stream(spark, changes, registry, "orders", store, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").select("constraint_id", "code", "violation_count", "kind", "batch")
+
+
+from keelson import table_queries  # noqa: E402,F401  registers the queries over table files

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -96,3 +98,89 @@ def bucket_text(buckets: int):
             yield pd.Series(found[codes]).where(codes >= 0, None).astype("Int32")
 
     return bucket
+
+
+def bucket_bytes(buckets: int):
+    """A vectorised function from binary values (bytes, or decimals as ``decimal_bytes`` has them) to buckets."""
+
+    @F.pandas_udf("int")
+    def bucket(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda v: None if v is None else (murmur3(bytes(v)) & 2147483647) % buckets).astype("Int32")
+
+    return bucket
+
+
+def decimal_bytes(scale: int):
+    """A vectorised function from decimals to the fewest big-endian bytes of the unscaled number, two's complement."""
+
+    @F.pandas_udf("binary")
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(d):
+            if d is None:
+                return None
+            n = int(d.scaleb(scale))
+            return n.to_bytes((n if n >= 0 else ~n).bit_length() // 8 + 1, "big", signed=True)
+
+        for s in batches:
+            yield s.map(one)
+
+    return packed
+
+
+def truncate_decimal(c: Column, width: int, scale: int) -> Column:
+    """Down to a multiple of ``width`` units of the last digit."""
+    unit = F.lit(width).cast("decimal(20,0)") / F.lit(10**scale).cast("decimal(20,0)")
+    return c - F.pmod(c, unit.cast(f"decimal(38,{scale})"))
+
+
+def truncate_binary(c: Column, width: int) -> Column:
+    return F.substring(c, 1, width)
+
+
+def void(kind: str = "int") -> Column:
+    return F.lit(None).cast(kind)
+
+
+@dataclass(frozen=True)
+class Transform:
+    name: str
+    width: int | None = None
+
+
+def parse(text: str) -> Transform | None:
+    """A transform by its name in table metadata; None for one that is not computed."""
+    text = text.strip()
+    if text in ("identity", "year", "month", "day", "hour", "void"):
+        return Transform(text)
+    m = re.fullmatch(r"(bucket|truncate)\[\s*\+?([0-9]+)\s*\]", text)
+    return Transform(m[1], int(m[2])) if m and 0 < int(m[2]) < 1 << 32 else None
+
+
+_WHOLE = frozenset(("int", "bigint"))
+_MICROS = frozenset(("timestamp", "timestamp_ntz"))
+_NANOS = frozenset(("timestamp_ns", "timestamptz_ns"))
+_BYTES = frozenset(("string", "binary", "fixed", "uuid", "decimal"))
+
+
+def supports(t: Transform, kind: str) -> bool:
+    """Whether the transform is computed for a column of a type."""
+    base = re.sub(r"[(\[].*", "", kind)
+    return {
+        "void": True,
+        "identity": base in _WHOLE | _MICROS | _NANOS | _BYTES | {"boolean", "date"},
+        "bucket": base in _WHOLE | _MICROS | _BYTES | {"date"},
+        "truncate": base in _WHOLE | {"decimal", "string", "binary"},
+        "hour": base in _MICROS | _NANOS,
+    }.get(t.name, base in _MICROS | _NANOS | {"date"})
+
+
+def computable(spec: list[dict], kinds: dict[int, str]) -> bool:
+    """Whether all fields of a partition spec (source-id, transform) are computed from the given fields."""
+    found = [(parse(f["transform"]), kinds.get(f["source-id"])) for f in spec]
+    return all(t is not None and k is not None and supports(t, k) for t, k in found)
+
+
+def key_determined(spec: list[dict], kinds: dict[int, str]) -> bool:
+    """Whether a key of the given fields fixes the partition: the spec is computed from them and is not void in all fields."""
+    return computable(spec, kinds) and any(parse(f["transform"]) != Transform("void") for f in spec)

@@ -7,10 +7,17 @@ from dataclasses import dataclass, field
 #: Stable codes of violations and errors.
 DUPLICATE_PK, DUPLICATE_UNIQUE, MISSING_PARENT, PARENT_DELETED, NULL_VALUE = "INT-003", "INT-004", "INT-005", "INT-006", "INT-007"
 INCONSISTENT, UNPROVABLE, ONBOARDING, BYPASSED = "INT-010", "INT-012", "INT-013", "INT-015"
+#: All codes with their names.
+CODES = {
+    "INT-001": "INVALID_CONSTRAINT", "INT-002": "CONSTRAINT_NOT_FOUND", "INT-003": "DUPLICATE_PRIMARY_KEY", "INT-004": "DUPLICATE_UNIQUE_KEY", "INT-005": "FOREIGN_KEY_VIOLATION",
+    "INT-006": "REFERENCED_ROW_DELETE", "INT-007": "NOT_NULL_VIOLATION", "INT-008": "CHECK_VIOLATION", "INT-009": "STALE_BASE_SNAPSHOT", "INT-010": "INDEX_DEGRADED", "INT-011": "RECOVERY_REQUIRED",
+    "INT-012": "UNSUPPORTED_COMMIT_OPERATION", "INT-013": "ONBOARDING_VIOLATIONS", "INT-014": "VALIDATION_BUDGET_EXCEEDED", "INT-015": "BYPASS_DETECTED", "INT-016": "STORAGE_READ_FAILED",
+    "INT-017": "RATE_LIMITED", "INT-018": "SIGNER_UNAVAILABLE",
+}
 PK, UNIQUE, FK, NOT_NULL = "PRIMARY KEY", "UNIQUE", "FOREIGN KEY", "NOT NULL"
 
 #: Types by key family; types of different families never make equal keys.
-FAMILIES = {"boolean": "boolean", "tinyint": "integer", "smallint": "integer", "int": "integer", "bigint": "integer", "date": "date", "timestamp_ntz": "timestamp", "timestamp": "timestamptz", "string": "string", "binary": "binary"}
+FAMILIES = {"boolean": "boolean", "tinyint": "integer", "smallint": "integer", "int": "integer", "bigint": "integer", "date": "date", "timestamp_ntz": "timestamp", "timestamp": "timestamptz", "string": "string", "binary": "binary", "fixed": "binary", "uuid": "uuid", "timestamp_ns": "timestamp", "timestamptz_ns": "timestamptz"}
 
 
 class DefinitionError(ValueError):

@@ -82,3 +82,11 @@ def matched(left: DataFrame, right: DataFrame, columns, how: str, other=None, nu
     names = [f"_k{i}" for i in range(len(columns))]
     on = [left[c].eqNullSafe(right[k]) if nulls_equal else left[c] == right[k] for c, k in zip(columns, names, strict=True)]
     return left.join(right, on, how)
+
+
+def with_held(left: DataFrame, index: DataFrame, columns, nulls_equal: bool = False) -> DataFrame:
+    """``left`` with held: whether the index, whose keys are distinct, has the key."""
+    names = [f"_k{i}" for i in range(len(columns))]
+    right = index.select(*[F.col(c).alias(k) for c, k in zip(columns, names, strict=True)], F.lit(True).alias("_held"))
+    on = [left[c].eqNullSafe(right[k]) if nulls_equal else left[c] == right[k] for c, k in zip(columns, names, strict=True)]
+    return left.join(right, on, "left").select(*left.columns, F.coalesce("_held", F.lit(False)).alias("held"))

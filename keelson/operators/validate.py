@@ -25,12 +25,23 @@ class Indexes:
 
 
 def key_text(columns) -> Column:
-    """A key for people: values joined by commas, NULL spelled out."""
-    return F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in columns])
+    """A key for people: values joined by commas, NULL spelled out.
+
+    Values with a comma, a quote or a backslash, empty ones and the text NULL
+    stand in quotes, so no two keys read alike.
+    """
+
+    def one(c: str) -> Column:
+        text = F.col(c).cast("string")
+        quoted = F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+        return F.when(text.isNull(), "NULL").when(text.rlike(r'[,"\\]') | text.isin("", "NULL"), quoted).otherwise(text)
+
+    return F.concat_ws(",", *map(one, columns))
 
 
-def _found(rows: DataFrame, c: Constraint, table: str, code: str, phase: int, columns) -> DataFrame:
-    return rows.select(F.lit(c.id).cast("long").alias("constraint_id"), F.lit(c.label).alias("constraint"), F.lit(table).alias("table_name"), F.lit(code).alias("code"), F.lit(phase).alias("phase"), key_text(columns).alias("key"))
+def _found(rows: DataFrame, c: Constraint, table: str, code: str, phase: int | Column, columns) -> DataFrame:
+    phase = phase if isinstance(phase, Column) else F.lit(phase)
+    return rows.select(F.lit(c.id).cast("long").alias("constraint_id"), F.lit(c.label).alias("constraint"), F.lit(table).alias("table_name"), F.lit(code).alias("code"), phase.alias("phase"), key_text(columns).alias("key"))
 
 
 def _all(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
@@ -106,20 +117,13 @@ def _own(registry: Registry, c: Constraint, added: DataFrame, removed: DataFrame
     if c.kind == NOT_NULL:
         return
     counted = keys.sides(keys.keys_of(added, c), keys.keys_of(removed, c))
-    rising = counted.where("a > r")
     if c.kind == FK:
         parent = indexes.unique[registry.parent_key(c).id]
-        parts.append(_found(keys.matched(rising, parent, c.columns, "left_anti", c.parent_columns), c, c.table, MISSING_PARENT, 2, c.columns))
+        parts.append(_found(keys.matched(counted.where("a > r"), parent, c.columns, "left_anti", c.parent_columns), c, c.table, MISSING_PARENT, 2, c.columns))
         return
-    own = indexes.unique[c.id]
-    nulls = not c.nulls_distinct
-    twice = counted.where("a > 1")
-    held = keys.matched(rising.where("a <= 1"), own, c.columns, "left_semi", nulls_equal=nulls)
-    parts.append(_found(twice, c, c.table, c.duplicate_code, 1, c.columns))
-    parts.append(_found(held, c, c.table, c.duplicate_code, 2, c.columns))
-    falling = counted.where("a < r")
-    lost = keys.matched(falling, own, c.columns, "left_anti", nulls_equal=nulls).unionByName(falling.where("a - r < -1"))
-    errors.append(_found(lost.dropDuplicates(list(c.columns)), c, c.table, INCONSISTENT, 1, c.columns))
+    probed = keys.with_held(counted, indexes.unique[c.id], c.columns, nulls_equal=not c.nulls_distinct)  # one aggregate and one probe for all that follows
+    parts.append(_found(probed.where("a > 1 or a > r and held"), c, c.table, c.duplicate_code, F.when(F.col("a") > 1, 1).otherwise(2), c.columns))
+    errors.append(_found(probed.where("a < r and (not held or a - r < -1)"), c, c.table, INCONSISTENT, 1, c.columns))
 
 
 def stage_unique(index: DataFrame, net: DataFrame, snapshot: int) -> DataFrame:

@@ -7,36 +7,88 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.model import Registry
-from keelson.operators import keys
+from keelson.model import FK, PK, UNIQUE, Registry
+from keelson.operators import keys, validate
 from keelson.operators.validate import Indexes, commit, summary
 from keelson.sources.index_store import IndexStore
 
+COUNT = "child_count"
 
-def validate_stream(spark: SparkSession, changes: DataFrame, registry: Registry, table: str, key_id: int, store: IndexStore, out: str, checkpoint: str) -> None:
+
+def unique_name(constraint_id: int) -> str:
+    return f"unique-{constraint_id}"
+
+
+def reference_name(constraint_id: int) -> str:
+    return f"reference-{constraint_id}"
+
+
+def install(store: IndexStore, registry: Registry, tables: dict[str, DataFrame], epoch: int = 1) -> None:
+    """Build all indexes of the registry from whole tables, at one epoch."""
+    found = {}
+    for c in registry.constraints.values():
+        if c.enabled and c.kind in (PK, UNIQUE):
+            found[unique_name(c.id)] = keys.keys_of(tables[c.table], c).distinct()
+        elif c.enabled and c.kind == FK:
+            found[reference_name(c.id)] = validate.reference_counts(tables[c.table], c)
+    store.apply(found, epoch)
+
+
+def indexes_for(store: IndexStore, registry: Registry, table: str) -> Indexes:
+    """The indexes that decide a commit to a table: its own keys, its parents' keys, the references to it."""
+    unique, references = {}, {}
+    for c in registry.governing(table):
+        if c.kind in (PK, UNIQUE) and c.table == table:
+            unique[c.id] = store.read(unique_name(c.id))
+        elif c.kind == FK:
+            if c.table == table:
+                parent = registry.parent_key(c).id
+                unique[parent] = store.read(unique_name(parent))
+            if c.parent == table:
+                references[c.id] = store.read(reference_name(c.id), COUNT)
+    return Indexes(unique, references)
+
+
+def deltas_of(registry: Registry, table: str, added: DataFrame, removed: DataFrame) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """What a valid commit changes: index name to (key, net), and the count columns of those that have one."""
+    deltas, values = {}, {}
+    for c in registry.of_table(table):
+        if c.kind not in (PK, UNIQUE, FK):
+            continue
+        net = keys.net_delta(keys.keys_of(added, c), keys.keys_of(removed, c))
+        if c.kind == FK:
+            deltas[reference_name(c.id)] = net.toDF(*c.parent_columns, "net")
+            values[reference_name(c.id)] = COUNT
+        else:
+            deltas[unique_name(c.id)] = net
+    return deltas, values
+
+
+def validate_stream(spark: SparkSession, changes: DataFrame, registry: Registry, table: str, store: IndexStore, out: str, checkpoint: str) -> None:
     """Run all waiting change files (rows with op = +1 or -1) through validation, one commit per micro-batch.
 
-    A commit without violations moves the unique index on at epoch batch id + 1;
-    a batch that is run again after a failure finds its epoch applied and
-    changes nothing. Verdicts are written per batch, so a repeated batch overwrites its own.
+    The store holds the indexes that ``install`` builds. A commit without
+    violations and errors adds its deltas at epoch batch + 2. A batch that is
+    run again after its epoch was applied does nothing, so its verdict stays;
+    one that stopped before that is decided again on the same indexes and
+    overwrites its verdict with the same one.
     """
-    changes.writeStream.foreachBatch(_batch(registry, table, key_id, store, out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
+    changes.writeStream.foreachBatch(batch_of(registry, table, store, out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-def _batch(registry: Registry, table: str, key_id: int, store: IndexStore, out: str) -> Callable[[DataFrame, int], None]:
-    key = registry.constraints[key_id]
 
+def batch_of(registry: Registry, table: str, store: IndexStore, out: str) -> Callable[[DataFrame, int], None]:
     def run(rows: DataFrame, batch: int) -> None:
+        if store.pointer()["epoch"] >= batch + 2:
+            return
         rows = rows.persist()
         added, removed = rows.where("op = 1").drop("op"), rows.where("op = -1").drop("op")
-        index = store.read("unique")
-        decision = commit(registry, table, added, removed, Indexes(unique={key_id: index}))
-        verdict = summary(decision.violations).withColumn("batch", F.lit(batch).cast("long")).persist()
+        decision = commit(registry, table, added, removed, indexes_for(store, registry, table))
+        found = summary(decision.violations).withColumn("kind", F.lit("violation")).union(summary(decision.errors).withColumn("kind", F.lit("error")))
+        verdict = found.withColumn("batch", F.lit(batch).cast("long")).persist()
         verdict.write.mode("overwrite").parquet(f"{out}/batch={batch}")
-        if verdict.isEmpty() and decision.errors.isEmpty() and store.pointer()["epoch"] < batch + 2:
-            delta = keys.net_delta(keys.keys_of(added, key), keys.keys_of(removed, key))
-            moved = index.join(delta.where("net < 0"), list(key.columns), "left_anti").unionByName(delta.where("net > 0").drop("net"))
-            store.apply({"unique": moved}, batch + 2)
+        if verdict.isEmpty():
+            deltas, values = deltas_of(registry, table, added, removed)
+            store.apply_deltas(deltas, batch + 2, values=values)
         verdict.unpersist()
         rows.unpersist()
 
