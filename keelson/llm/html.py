@@ -3,33 +3,35 @@
 A page becomes blocks of text with the elements around them. What stands in
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
 reader comments, by its elements or by a plain word in a class, id or role, is
-template. The token streams of a host's pages, all blocks included, are
-concatenated and their suffixes ordered by their first ``LONG`` tokens (by
-prefix doubling). Neighbours that agree in all of these are one substring, of
-which the distinct pages are counted. Tokens inside a substring that enough
-pages share are covered; a block that is covered for the most part is
-boilerplate, the others, the unique runs, stay. How many pages are enough
-depends on the hint:
-
-* outside articles and the main element, and where a class is only doubtful
-  (``DOUBTFUL``): ``PAGES`` pages;
-* inside an article or the main element: ``PAGES`` and ``SHARE`` of the host's
-  pages. Text of an article may recur on some pages of a host (a title, a
-  quoted passage, a copied article), what the host puts into all of them is
-  its own.
-
-Where a page has an article or a main element, text outside is left out.
+template. Where a page has an article (else a main element), the rest of the
+page is left out. What remains is decided by the host's suffix array: the token
+streams of its pages are concatenated and their suffixes ordered by their first
+``LONG`` tokens (by prefix doubling). Neighbours that agree in all of these are
+one substring, of which the distinct pages are counted. Tokens inside a
+substring that enough pages share are covered; a block that is covered for the
+most part is boilerplate; the others, the unique runs, stay. Two kinds of text
+are told apart, each with streams of its own:
+
+* loose text, of pages without an article or main element and of elements whose
+  class is only doubtful (``DOUBTFUL``): ``PAGES`` pages are enough;
+* framed text, inside an article or the main element: ``PAGES`` and ``SHARE`` of
+  the host's pages. Text of an article may recur on some pages of a host (a
+  title, a quoted passage, a copied article); what stands in most of its
+  articles is the host's own.
 
 A host's pages are dealt to groups of about ``GROUP`` characters, each with a
-suffix array of its own. For hosts of several groups the counts of pages are
-summed over the host: each group sends its substrings' hashes and counts to the
-host's counting tasks, dealt by hash, and gets back those that are repeated. So a
-substring's pages are those of the whole host, whatever its size.
+suffix array of its own. For hosts of several groups, pages are counted over the
+whole host, so the result does not depend on its size. Each group sends the
+hashes and counts of its loose substrings, dealt by hash, and gets back those
+that are repeated. Of framed substrings it sends only those on ``SHARE`` of its
+own pages: one on that share of the host's pages is so in one group at least.
+Where there are such, every group counts them, and gets the sums.
 """
 
 from __future__ import annotations
 
 import html as html_lib
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,13 +39,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm import common
 from keelson.llm.words import mix
 
-LONG, PAGES, SHARE, COVERED, GROUP = 8, 3, 0.5, 0.8, 500_000
+LONG, PAGES, SHARE, COVERED, GROUP = 8, 3, 0.5, 0.8, 1 << 20
 
 #: Elements by what they mean for the text.
 RAW = frozenset("script style noscript template iframe svg math object title textarea select".split())
@@ -244,33 +247,56 @@ def _tokens(texts: list[str], known: dict[str, int]) -> list[list[int]]:
     return out
 
 
-def _streams(pages: list[list[str]]) -> tuple[list[list[list[int]]], Substrings]:
+@dataclass(slots=True)
+class Parsed:
+    """A page with the kind of each block (0 left out, 1 loose, 2 framed) and its tokens' hashes."""
+
+    blocks: list[Block]
+    kinds: list[int]
+    tokens: list[list[int]]
+
+    def stream(self, kind: int) -> np.ndarray:
+        return np.array([t for k, own in zip(self.kinds, self.tokens, strict=True) if k == kind for t in own], np.uint64)
+
+
+LOOSE, FRAMED = 1, 2
+
+
+def _parsed(pages: list[list[Block]]) -> list[Parsed]:
     known: dict[str, int] = {}
-    tokens = [_tokens(page, known) for page in pages]
-    return tokens, substrings([np.array([t for block in page for t in block], np.uint64) for page in tokens])
-
-
-def kept_texts(pages: list[list[Block]], host_pages: int | None = None, marks: np.ndarray | None = None, counts: np.ndarray | None = None) -> list[str]:
-    """The main texts of one group of a host's pages, all of them or with the host's number of pages and the counts of its repeated substrings (marks ascend)."""
-    tokens, found = _streams([[b.text for b in page] for page in pages])
-    distinct = found.pages
-    if marks is not None and len(marks):
-        at = np.minimum(np.searchsorted(marks, found.mark), len(marks) - 1)
-        distinct = np.where(marks[at] == found.mark, counts[at], distinct)
-    share = max(PAGES, SHARE * (len(pages) if host_pages is None else host_pages))
-    some, most = found.covered(distinct >= PAGES), found.covered(distinct >= share)
     out = []
-    for page, own, often, everywhere in zip(pages, tokens, some, most, strict=True):
+    for page in pages:
         best = max((b.main for b in page if not b.template), default=0)
-        kept, at = [], 0
-        for block, words in zip(page, own, strict=True):
-            here = slice(at, at + len(words))
-            at += len(words)
-            if block.template or block.main < best or (block.doubtful and not block.main):
-                continue
-            mask = often if block.doubtful or not block.main else everywhere
-            if mask[here].mean() < COVERED:
-                kept.append(block.text)
+        kinds = [0 if b.template or b.main < best or (b.doubtful and not best) else LOOSE if b.doubtful or not best else FRAMED for b in page]
+        out.append(Parsed(page, kinds, _tokens([b.text if k else "" for b, k in zip(page, kinds, strict=True)], known)))
+    return out
+
+
+def _least(kind: int, pages: int) -> float:
+    return PAGES if kind == LOOSE else max(PAGES, SHARE * pages)
+
+
+def kept_texts(pages: list[list[Block]], host_pages: int | None = None, known: dict[int, tuple[np.ndarray, np.ndarray]] | None = None, parts: int = 1) -> list[str]:
+    """The main texts of one group of a host's pages: all of them, or with the host's number of pages and by kind the counts of its repeated substrings (marks ascend)."""
+    parsed, own = _parsed(pages), {}
+    for kind in (LOOSE, FRAMED):
+        found = substrings([p.stream(kind) for p in parsed])
+        distinct = found.pages
+        marks, counts = (known or {}).get(kind, (None, None))
+        if marks is not None and len(marks):
+            short = _short(found.mark, parts)
+            at = np.minimum(np.searchsorted(marks, short), len(marks) - 1)
+            distinct = np.where(marks[at] == short, counts[at], distinct)
+        own[kind] = found.covered(distinct >= _least(kind, len(pages) if host_pages is None else host_pages))
+    out = []
+    for n, page in enumerate(parsed):
+        kept, at = [], {LOOSE: 0, FRAMED: 0}
+        for block, kind, words in zip(page.blocks, page.kinds, page.tokens, strict=True):
+            if kind:
+                hidden = own[kind][n][at[kind] : at[kind] + len(words)]
+                at[kind] += len(words)
+                if hidden.mean() < COVERED:
+                    kept.append(block.text)
         out.append("\n".join(kept))
     return out
 
@@ -280,61 +306,122 @@ def main_texts(pages: list[str]) -> list[str]:
     return kept_texts([blocks_of(p) for p in pages])
 
 
-_PARSED = "host string, part int, parts int, host_pages long, page long, url string, texts array<string>, kinds binary"
-_COUNTED = "host string, deal int, part int, marks binary, counts binary"
+_PARSED = "host string, part int, parts int, host_pages long, pages binary"
+_COUNTED = "kind int, host string, deal int, part int, marks binary, counts binary"
+_COUNTED_SCHEMA = pa.schema([("kind", pa.int32()), ("host", pa.string()), ("deal", pa.int32()), ("part", pa.int32()), ("marks", pa.binary()), ("counts", pa.binary())])
+#: Characters of html that a task parses before it hands the pages on.
+HELD = 16 << 20
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last column, html, to (texts, kinds): a byte a block. Batches of about 4 MB of html."""
+    """Rows (host, part, parts, host_pages, page, url, html) to packs of parsed pages (page, url, kinds, texts), one a host and part.
+
+    A kind is a byte a block; a text has its blocks in lines. Packs are compressed, since they are shuffled.
+    """
+    names = ["host", "part", "parts", "host_pages", "pages"]
+
+    def packed(held: dict) -> pa.RecordBatch:
+        packs = [zstandard.compress(pickle.dumps(rows)) for rows in held.values()]
+        cols = [pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
+        return pa.record_batch([*cols, pa.array(packs, pa.binary())], names=names)
+
+    held, have = {}, 0
     for batch in batches:
-        texts, kinds, have, since = [], [], 0, 0
-        for k, page in enumerate(batch.column(batch.num_columns - 1)):
-            html = page.as_py()
+        keys = zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)
+        for (host, part, parts, n, page, url), cell in zip(keys, batch.column(6), strict=True):
+            html = cell.as_py()
             blocks = blocks_of(html)
-            texts.append([b.text for b in blocks])
-            kinds.append(bytes(b.main | b.doubtful << 2 | b.template << 3 for b in blocks))
+            kinds = bytes(b.main | b.doubtful << 2 | b.template << 3 for b in blocks)
+            held.setdefault((host, part, parts, n), []).append((page, url, kinds, "\n".join(b.text for b in blocks)))
             have += len(html)
-            if have > 4 << 20 or k + 1 == batch.num_rows:
-                done = pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.slice(since, k + 1 - since).columns[:-1], *done], names=[*batch.schema.names[:-1], "texts", "kinds"])
-                texts, kinds, have, since = [], [], 0, k + 1
+            if have > HELD:
+                yield packed(held)
+                held, have = {}, 0
+    if held:
+        yield packed(held)
+
+
+def _pages(group: pa.Table) -> list[tuple[int | None, str | None, list[Block]]]:
+    out = []
+    for pack in group.column("pages").to_pylist():
+        for page, url, kinds, text in pickle.loads(zstandard.decompress(pack)):
+            out.append((page, url, [Block(t, bool(k & 8), bool(k & 4), k & 3) for t, k in zip(text.split("\n") if kinds else [], kinds, strict=True)]))
+    return out
+
+
+def _short(marks: np.ndarray, parts: int) -> np.ndarray:
+    """As many bits of the marks as tell a host's substrings apart: all but some 2**-22 of them meet no other among 2**18 a part."""
+    return marks >> np.uint64(64 - min(64, parts.bit_length() + 18 + 22))
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Ascending whole numbers as differences of four bytes, or of eight where one is larger."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    small = not len(steps) or steps.max() < 1 << 32
+    return (b"4" if small else b"8") + steps.astype(np.uint32 if small else np.uint64).tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint32 if data[:1] == b"4" else np.uint64, offset=1), dtype=np.uint64)
+
+
+def _counted_table(rows: list[tuple]) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(_COUNTED_SCHEMA)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _COUNTED_SCHEMA.types, strict=True)], schema=_COUNTED_SCHEMA)
+
+
+def _dealt(kind: int, host: str, part: int, parts: int, marks: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """Ascending marks with their counts, dealt by mark over as many tasks as the host has parts."""
+    deal = marks % np.uint64(parts)
+    return [(kind, host, int(d), part, _pack(marks[deal == d]), zstandard.compress(counts[deal == d].astype(np.int32).tobytes())) for d in np.unique(deal)]
+
+
+def _of_group(group: pa.Table) -> tuple[str, int, int]:
+    return tuple(group.column(c)[0].as_py() for c in ("host", "part", "parts"))
 
 
-def _blocks(group: pa.Table) -> list[list[Block]]:
-    return [
-        [Block(t, bool(k & 8), bool(k & 4), k & 3) for t, k in zip(texts, kinds, strict=True)]
-        for texts, kinds in zip(group.column("texts").to_pylist(), group.column("kinds").to_pylist(), strict=True)
-    ]
+def _summed(found: Substrings, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    marks, at = np.unique(_short(found.mark, parts), return_inverse=True)
+    return marks, np.bincount(at, weights=found.pages, minlength=len(marks)).astype(np.int64)
 
 
 def _counts(group: pa.Table) -> pa.Table:
-    """The substrings of one group of a host of several groups: hashes and pages, dealt by hash over as many tasks as groups."""
-    schema = pa.schema([("host", pa.string()), ("deal", pa.int32()), ("part", pa.int32()), ("marks", pa.binary()), ("counts", pa.binary())])
-    host, part, parts = (group.column(c)[0].as_py() for c in ("host", "part", "parts"))
-    if parts == 1:
-        return schema.empty_table()
-    _, found = _streams(group.column("texts").to_pylist())
-    by = np.argsort(found.mark)
-    marks, pages = found.mark[by], found.pages[by].astype(np.int32)
-    deal = ((marks >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
-    rows = [(host, int(d), part, marks[deal == d].tobytes(), pages[deal == d].tobytes()) for d in np.unique(deal)]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else schema.empty_table()
+    """The substrings of one group of a host of several groups: all loose ones, and the framed ones on SHARE of the group's pages."""
+    host, part, parts = _of_group(group)
+    rows = []
+    if parts > 1:
+        parsed = _parsed([blocks for *_, blocks in _pages(group)])
+        for kind in (LOOSE, FRAMED):
+            marks, pages = _summed(substrings([p.stream(kind) for p in parsed]), parts)
+            often = pages >= (1 if kind == LOOSE else SHARE * len(parsed))
+            rows += _dealt(kind, host, part, parts, marks[often], pages[often])
+    return _counted_table(rows)
+
+
+def _recount(group: pa.Table, wanted: pa.Table) -> pa.Table:
+    """One group's counts of the host's wanted framed substrings, none left out."""
+    if not group.num_rows or not wanted.num_rows:
+        return _counted_table([])
+    host, part, parts = _of_group(group)
+    ask = np.unique(np.concatenate([_unpack(x) for x in wanted.column("marks").to_pylist()]))
+    marks, pages = _summed(substrings([p.stream(FRAMED) for p in _parsed([blocks for *_, blocks in _pages(group)])]), parts)
+    at = np.minimum(np.searchsorted(marks, ask), max(len(marks) - 1, 0))
+    counts = np.where(marks[at] == ask, pages[at], 0) if len(marks) else np.zeros(len(ask), np.int64)
+    return _counted_table(_dealt(FRAMED, host, part, parts, ask, counts))
 
 
 def _repeated(group: pa.Table) -> pa.Table:
-    """The parts' counts (host, deal, part, marks, counts) summed; each part gets back those of its substrings that are repeated."""
-    marks = [np.frombuffer(x, np.uint64) for x in group.column("marks").to_pylist()]
-    counts = [np.frombuffer(x, np.int32) for x in group.column("counts").to_pylist()]
-    unique, at = np.unique(np.concatenate(marks), return_inverse=True)
+    """The parts' counts of one kind, host and deal summed; each part gets back those of its substrings that are repeated."""
+    marks = [_unpack(x) for x in group.column("marks").to_pylist()]
+    counts = [np.frombuffer(zstandard.decompress(x), np.int32) for x in group.column("counts").to_pylist()]
+    _, at = np.unique(np.concatenate(marks), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(counts)).astype(np.int32)
-    out, begin = ([], []), 0
-    for own in marks:
-        here = at[begin : begin + len(own)]
-        often = total[here] >= PAGES
-        out[0].append(own[often].tobytes())
-        out[1].append(total[here][often].tobytes())
+    rows, begin = [], 0
+    for kind, host, deal, part, own in zip(*(group.column(c).to_pylist() for c in ("kind", "host", "deal", "part")), marks, strict=True):
+        sums = total[at[begin : begin + len(own)]]
         begin += len(own)
-    return pa.Table.from_arrays([group.column("host").combine_chunks(), group.column("deal").combine_chunks(), group.column("part").combine_chunks(), *(pa.array(x, pa.binary()) for x in out)], names=["host", "deal", "part", "marks", "counts"])
+        rows.append((kind, host, deal, part, _pack(own[sums >= PAGES]), zstandard.compress(sums[sums >= PAGES].tobytes())))
+    return _counted_table(rows)
 
 
 _TEXTS = pa.schema([("page", pa.int64()), ("url", pa.string()), ("text", pa.string())])
@@ -344,18 +431,20 @@ def _texts_alone(group: pa.Table) -> pa.Table:
     return _texts_with(group, None)
 
 
-def _texts_with(group: pa.Table, known: pa.Table | None) -> pa.Table:
+def _texts_with(group: pa.Table, repeated: pa.Table | None) -> pa.Table:
     """The main texts of one group, given what the host repeats."""
     if not group.num_rows:
         return _TEXTS.empty_table()
-    marks = counts = None
-    if known is not None and known.num_rows:
-        marks = np.concatenate([np.frombuffer(x, np.uint64) for x in known.column("marks").to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, np.int32) for x in known.column("counts").to_pylist()])
-        by = np.argsort(marks)
-        marks, counts = marks[by], counts[by]
-    texts = kept_texts(_blocks(group), group.column("host_pages")[0].as_py(), marks, counts)
-    return pa.Table.from_arrays([group.column("page").combine_chunks(), group.column("url").combine_chunks(), pa.array(texts, pa.string())], schema=_TEXTS)
+    pages, known = _pages(group), {}
+    for kind in (LOOSE, FRAMED) if repeated is not None and repeated.num_rows else ():
+        rows = [r for r in repeated.to_pylist() if r["kind"] == kind]
+        if rows:
+            marks = np.concatenate([_unpack(r["marks"]) for r in rows])
+            counts = np.concatenate([np.frombuffer(zstandard.decompress(r["counts"]), np.int32) for r in rows])
+            by = np.argsort(marks)
+            known[kind] = marks[by], counts[by]
+    texts = kept_texts([blocks for *_, blocks in pages], group.column("host_pages")[0].as_py(), known, group.column("parts")[0].as_py())
+    return pa.Table.from_arrays([pa.array([p[0] for p in pages], pa.int64()), pa.array([p[1] for p in pages], pa.string()), pa.array(texts, pa.string())], schema=_TEXTS)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP) -> DataFrame:
@@ -377,9 +466,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     own = F.pmod(F.xxhash64("page", "url", F.xxhash64("html")), F.col("parts")).cast("int")
     dealt = dealt.select("host", F.coalesce(own, F.lit(0)).alias("part"), F.coalesce("parts", F.lit(1)).alias("parts"), "host_pages", "page", "url", "html")
     parsed = dealt.mapInArrow(_parse, _PARSED)
-    if several:
-        known = parsed.groupBy("host", "part").applyInArrow(_counts, _COUNTED).groupBy("host", "deal").applyInArrow(_repeated, _COUNTED)
-        found = parsed.groupBy("host", "part").cogroup(known.groupBy("host", "part")).applyInArrow(_texts_with, "page long, url string, text string")
+    alone = parsed.groupBy("host", "part")
+    counted = common.saved(alone.applyInArrow(_counts, _COUNTED), "counts") if several else None
+    if counted is None or counted.isEmpty():
+        found = alone.applyInArrow(_texts_alone, "page long, url string, text string")
     else:
-        found = parsed.groupBy("host", "part").applyInArrow(_texts_alone, "page long, url string, text string")
+        framed = counted.where(F.col("kind") == FRAMED).select("host", "marks")
+        parts_of = sizes.select("host", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        asked = framed.join(parts_of, "host").groupBy("host", "part")
+        recounted = alone.cogroup(asked).applyInArrow(_recount, _COUNTED) if not framed.isEmpty() else counted.limit(0)
+        repeated = counted.where(F.col("kind") == LOOSE).union(recounted).groupBy("kind", "host", "deal").applyInArrow(_repeated, _COUNTED)
+        found = alone.cogroup(repeated.groupBy("host", "part")).applyInArrow(_texts_with, "page long, url string, text string")
     return found.select(F.col("page").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
