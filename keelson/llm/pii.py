@@ -146,13 +146,15 @@ def _searched(docs: DataFrame, id_col: str, text_col: str, disclosure: float, sm
     rows = docs.select(F.struct(*docs.columns).alias("own"), F.col(id_col).alias("id"), common.text_or_empty(text_col).alias("text"))
     rows = rows.withColumn("found", base_spans(F.col("text"))).withColumn("row", F.xxhash64("id", "text"))
     terms, _ = disclosures(rows.select("row", F.xxhash64("text").alias("copy"), "text", F.col("found").alias("spans")), disclosure, smooth)
-    joined = rows.join(terms, "row", "left")
     slim = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     base = slim(F.col("found"))
     more = F.transform(matches(F.col("text"), _whole_words(F.col("words"))), lambda m: F.struct(F.lit(4).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
     apart = F.filter(more, lambda t: ~F.exists(F.col("found"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     spans = F.when(F.col("words").isNull(), base).otherwise(F.concat(base, apart))
-    return joined.select("own", F.col("found").alias("base"), spans.alias("spans"))
+    # only texts with an entity meet the terms; the others, most of them, are not shuffled
+    some = rows.where(F.size("found") > 0).join(terms, "row", "left").select("own", F.col("found").alias("base"), spans.alias("spans"))
+    empty = [F.array().cast(some.schema[c].dataType).alias(c) for c in ("base", "spans")]
+    return rows.where(F.size("found") == 0).select("own", *empty).union(some)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.9, smooth: float = 0.5) -> DataFrame:
