@@ -30,10 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage, survives executors."""
+    """Write a table to the shared folder and read it again: cuts the lineage, survives executors.
+
+    The shuffle files of a query that has ended go only when the driver's
+    garbage collector finds its plan. A driver that needs little memory would
+    keep all of them on the executors' disks, so it is asked to look.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out
