@@ -170,10 +170,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, counts per kind, base_sha256, spans) of what ``find`` returns."""
+    """(id, counts per kind, base_sha256, spans, n_spans: the number of all spans) of what ``find`` returns."""
     of_kind = lambda k: lambda s: s["kind"] == k
     counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return found.select(id_col, *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    total = F.size("spans").cast("long").alias("n_spans")
+    return found.select(id_col, *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), total)
 
 
 def redact(text: Column, spans: Column) -> Column:

@@ -103,6 +103,7 @@ def test_personal_data_of_the_table(spark, docs):
     for r in QUERIES["op10_pii"](spark, SF).collect():
         base = _base(docs[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and r.spans.startswith(base)
+        assert r.n_spans == len(r.spans.split(",") if r.spans else []) >= r.n_email + r.n_ip + r.n_card + r.n_phone
 
 
 def test_pipeline_runs_as_its_stages_one_by_one(spark, docs):
