@@ -71,6 +71,12 @@ def same_rows(before: DataFrame, after: DataFrame) -> DataFrame:
     return weighted.groupBy(*before.columns).agg(F.sum("w").alias("net")).where("net <> 0")
 
 
+def each(found: DataFrame) -> DataFrame:
+    """What ``same_rows`` finds with net 1 or -1: as many rows as the multiplicity differs by, so that no order of equal rows is needed."""
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.abs("net"))).alias("_i")
+    return found.select("*", times).withColumn("net", F.signum("net").cast("long")).drop("_i")
+
+
 def null_safe(left: DataFrame, right: DataFrame, columns, other=None) -> Column:
     """Equality of key tuples with NULL equal to NULL."""
     return reduce(and_, (left[x].eqNullSafe(right[y]) for x, y in zip(columns, other or columns, strict=True)))
