@@ -668,12 +668,12 @@ def stream_commits(spark: SparkSession, sf: str) -> DataFrame:
     orders = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderpriority").alias("p"), F.lit(1).alias("op"))
     urgent = F.when(F.col("p") == "1-URGENT", -F.col("o_custkey")).otherwise(F.col("o_custkey"))
     for name, rows in (("a", orders.where("o_orderstatus <> 'P'")), ("b", orders.where("o_orderstatus <> 'O'").withColumn("o_custkey", urgent))):
-        rows.drop("p").coalesce(1).write.mode("append").parquet(f"{base}/in/{name}")
+        rows.drop("p").write.option("maxRecordsPerFile", 1_000_000).parquet(f"{base}/in/{name}")
+        commits.announce(spark, f"{base}/waiting", name, [f"{base}/in/{name}"])
     store, registry = IndexStore(spark, f"{base}/index"), _registry(PK_CUSTOMER, PK_ORDERS, FK_CUSTOMER)
     commits.install(store, registry, {"customer": _t(spark, sf, "customer"), "orders": _t(spark, sf, "orders").limit(0)})
     schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, op int"
-    changes = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/in")
-    commits.validate_stream(spark, changes, registry, "orders", store, f"{base}/out", f"{base}/checkpoint")
+    commits.validate_stream(spark, commits.announced(spark, f"{base}/waiting"), registry, "orders", store, f"{base}/out", f"{base}/checkpoint", schema)
     return spark.read.parquet(f"{base}/out").select("constraint_id", "code", "violation_count", "kind", "batch")
 
 

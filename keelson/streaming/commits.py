@@ -1,4 +1,8 @@
-"""Commits as a stream: change files in, verdicts out, indexes moved on."""
+"""Commits as a stream: change files in, verdicts out, indexes moved on.
+
+A commit of many rows comes as a folder of any number of change files and a
+small file that names it, so that no task reads or writes a whole commit.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ from keelson.model import FK, PK, UNIQUE, Registry
 from keelson.operators import keys, validate
 from keelson.operators.validate import Indexes, commit, summary
 from keelson.sources.index_store import IndexStore
+from keelson.sources.locations import Hadoop
 
 COUNT = "child_count"
 
@@ -64,23 +69,62 @@ def deltas_of(registry: Registry, table: str, added: DataFrame, removed: DataFra
     return deltas, values
 
 
-def validate_stream(spark: SparkSession, changes: DataFrame, registry: Registry, table: str, store: IndexStore, out: str, checkpoint: str) -> None:
-    """Run all waiting change files (rows with op = +1 or -1) through validation, one commit per micro-batch.
+def announce(spark: SparkSession, waiting: str, name: str, folders: list[str]) -> None:
+    """Name a commit's folders of change files, all written, to those who wait for commits."""
+    Hadoop(spark).write(f"{waiting}/.{name}.tmp", "\n".join(folders).encode())
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    if not path(waiting).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(path(f"{waiting}/.{name}.tmp"), path(f"{waiting}/{name}")):
+        raise FileExistsError(f"commit {name} is announced already")
+
+
+def announced(spark: SparkSession, waiting: str) -> DataFrame:
+    """The stream of announced commits (value: a folder), one in each micro-batch, as ``validate_stream`` takes it with a schema."""
+    return spark.readStream.option("maxFilesPerTrigger", 1).text(waiting)
 
-    The store holds the indexes that ``install`` builds. A commit without
+
+def validate_stream(spark: SparkSession, changes: DataFrame, registry: Registry, table: str, store: IndexStore, out: str, checkpoint: str, schema: str | None = None) -> None:
+    """Run all waiting changes (rows with op = +1 or -1) through validation, one commit per micro-batch.
+
+    With ``schema``, changes are the folders of such rows, as ``announced`` gives
+    them. The store holds the indexes that ``install`` builds. A commit without
     violations and errors adds its deltas at epoch batch + 2. A batch that is
     run again after its epoch was applied does nothing, so its verdict stays;
     one that stopped before that is decided again on the same indexes and
     overwrites its verdict with the same one.
     """
-    changes.writeStream.foreachBatch(batch_of(registry, table, store, out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    def one(waiting: DataFrame, batch: int) -> None:
+        own = in_small_parts(waiting.sparkSession)
+        rows = waiting
+        if schema:
+            folders = [r.value for r in waiting.collect() if r.value]  # a commit's folders, few
+            rows = own.read.schema(schema).parquet(*folders) if folders else own.createDataFrame([], schema)
+        batch_of(registry, table, IndexStore(own, store.folder), out)(rows, batch)
+
+    changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+#: At most so many bytes of files or of shuffled keys in a task: keys compress to a few bytes, but take a hundred in a hash map or a sort.
+PARTS = {"spark.sql.files.maxPartitionBytes": 8 << 20, "spark.sql.adaptive.advisoryPartitionSizeInBytes": 4 << 20}
+
+
+def in_small_parts(own: SparkSession) -> SparkSession:
+    """The session of a stream, which is a copy of its starter's, with parts of the tasks' input no larger than ``PARTS``."""
+    size = own.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for name, most in PARTS.items():
+        if size(own.conf.get(name)) > most:
+            own.conf.set(name, str(most))
+    return own
 
 
 def batch_of(registry: Registry, table: str, store: IndexStore, out: str) -> Callable[[DataFrame, int], None]:
+    keyed = sorted({x for c in registry.governing(table) for x in (c.columns if c.table == table else c.parent_columns)})
+
     def run(rows: DataFrame, batch: int) -> None:
         if store.pointer()["epoch"] >= batch + 2:
             return
-        rows = rows.persist()
+        rows = rows.select(*keyed, "op").persist()
         added, removed = rows.where("op = 1").drop("op"), rows.where("op = -1").drop("op")
         decision = commit(registry, table, added, removed, indexes_for(store, registry, table))
         found = summary(decision.violations).withColumn("kind", F.lit("violation")).union(summary(decision.errors).withColumn("kind", F.lit("error")))
